@@ -89,7 +89,7 @@ def repeated_lines(pages: DataFrame, min_urls: int = MIN_URLS, size: int = SUMMA
     # a page names each of its lines once, so nothing is shuffled before the summaries
     site = site_of(F.col("domain"), F.col("url"))
     letters = F.array_distinct(F.transform(F.split("content", "\n"), letters_of))
-    once = pages.where(F.col("content").isNotNull()).select("url", site.alias("site"), F.explode(letters).alias("letters")).where("letters <> ''")
+    once = pages.where(F.col("content").isNotNull() & F.col("url").isNotNull()).select("url", site.alias("site"), F.explode(letters).alias("letters")).where("letters <> ''")
     keys = once.select(F.xxhash64("site").alias("site_key"), F.xxhash64("site", "letters").alias("line_key"), F.xxhash64("url").alias("url_key"))
     candidates, open_sites = candidate_lines(keys.select("site_key", "line_key"), min_urls, size)
     sure = keys.join(candidates, "line_key", "left_semi")
