@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textloom.llm.main_body import BAD, line_labels
@@ -108,11 +109,9 @@ def _forward_backward(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray
     return marginals, pairs, (np.where(mask, np.log(scale) + top, 0.0)).sum(axis=1)
 
 
-def _posteriors(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Marginals of padded sequences, without what only training needs."""
-    steps = scores.shape[1]
-    pot = np.exp(scores - scores.max(axis=2, keepdims=True))
-    move = np.exp(trans)
+def _posteriors(pot: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Marginals of padded sequences of potentials, without what only training needs."""
+    steps = pot.shape[1]
     back = np.ascontiguousarray(move.T)
     alpha = np.empty_like(pot)
     a = alpha[:, 0] = pot[:, 0]
@@ -196,17 +195,18 @@ def training_sequence(text: str, label: str) -> tuple[list[str], list[int]] | No
 
 
 class _Vocabulary(dict):
-    """Word to number; a word met for the first time gets its scores and size."""
+    """Word to number; a word met for the first time gets its potentials and size."""
 
     def __init__(self, weights: np.ndarray):
         super().__init__()
-        self.weights, self.scores, self.sizes = weights, np.zeros((4096, K), "float32"), np.zeros(4096, "float32")
+        self.weights, self.pot, self.sizes = weights, np.zeros((4096, K), "float32"), np.zeros(4096, "float32")
 
     def __missing__(self, word: str) -> int:
         i = self[word] = len(self)
         if i >= len(self.sizes):
-            self.scores, self.sizes = np.concatenate([self.scores, np.zeros_like(self.scores)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        self.scores[i] = self.weights[list(_features(word.lower()[:60]))].sum(axis=0)
+            self.pot, self.sizes = np.concatenate([self.pot, np.zeros_like(self.pot)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        score = self.weights[list(_features(word.lower()[:60]))].sum(axis=0)
+        self.pot[i] = np.exp(score - score.max())
         self.sizes[i] = len(word)
         return i
 
@@ -222,7 +222,7 @@ class Field:
     """A fitted field ready to label texts."""
 
     def __init__(self, weights: np.ndarray, trans: np.ndarray):
-        self.weights, self.trans = weights.astype("float32"), trans.astype("float32")
+        self.weights, self.move = weights.astype("float32"), np.exp(trans).astype("float32")
         self.words = _Vocabulary(self.weights)
 
     def _marginals(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -235,7 +235,7 @@ class Field:
             span = np.arange(int(size.max()))
             where = starts[part][:, None] + np.minimum(span[None, :], size[:, None] - 1)
             live = span[None, :] < size[:, None]
-            out[where[live]] = _posteriors(self.words.scores[ids[where]], size, self.trans)[live]
+            out[where[live]] = _posteriors(self.words.pot[ids[where]], size, self.move)[live]
         return out
 
     def label(self, texts: list[list[tuple[int, str]]]) -> list[tuple[str | None, float, list[tuple[int, str, float]]]]:
@@ -304,45 +304,61 @@ def train(texts: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, shards: int
     return weights, trans
 
 
-_JUDGED = "rec_id string, lang string, confidence double, lines array<struct<line_no:int,lang:string,confidence:double>>"
+_JUDGED = "rec_id string, label string, lang string, confidence double, lines array<struct<line_no:int,lang:string,confidence:double>>"
+
+
+def _field(model) -> Field:
+    """The field of a broadcast model; a worker keeps it, with the words it has met, from task to task."""
+    weights, trans = model.value
+    key = hash((weights[::61].tobytes(), trans.tobytes()))
+    if key not in _FIELDS:
+        _FIELDS.clear()
+        _FIELDS[key] = Field(weights, trans)
+    return _FIELDS[key]
+
+
+_FIELDS: dict[int, Field] = {}
+_LINE = pa.struct([("line_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())])
+
+
+def _result(ids: pa.Array, labels: pa.Array, found: list) -> pa.RecordBatch:
+    flat = [line for _, _, others in found for line in others]
+    offsets = np.cumsum([0, *(len(others) for _, _, others in found)])
+    values = pa.StructArray.from_arrays([pa.array([x[i] for x in flat], _LINE.field(i).type) for i in range(3)], fields=list(_LINE))
+    lines = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+    return pa.RecordBatch.from_arrays([ids, labels, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), lines], names=["rec_id", "label", "lang", "confidence", "lines"])
 
 
 def label_chunks(chunks: DataFrame, model) -> DataFrame:
     """(rec_id, label, lang, confidence, lines) for document_chunks; ``model`` is a broadcast of ``train``'s result."""
     rows = chunks.where(F.col("content").isNotNull()).select("chunk_id", "language", "content")
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field = Field(*model.value)
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = _field(model)
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.iloc[at : at + 2000]
-                found = field.label([list(enumerate(text.split("\n"), 1)) for text in part["content"]])
-                yield _frame(part["chunk_id"], part["language"], found)
+            for at in range(0, batch.num_rows, 2000):
+                ids, labels, texts = batch.slice(at, 2000).columns
+                yield _result(ids, labels, field.label([list(enumerate(text.split("\n"), 1)) for text in texts.to_pylist()]))
 
-    return rows.mapInPandas(judge, _JUDGED.replace("lang string", "label string, lang string", 1))
+    return rows.mapInArrow(judge, _JUDGED)
 
 
 def label_pages(pages: DataFrame, model) -> DataFrame:
     """The same for the main body of web_content, with or without html."""
     rows = pages.where(F.col("content").isNotNull()).select(F.col("web_id").cast("string").alias("web_id"), "language", "content", "raw_html", "title")
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field = Field(*model.value)
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = _field(model)
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.iloc[at : at + 2000]
+            for at in range(0, batch.num_rows, 1000):
+                ids, labels, *texts = batch.slice(at, 1000).columns
                 bodies = []
-                for content, html, title in zip(part["content"], part["raw_html"], part["title"]):
-                    labels = line_labels(content, html, title)
-                    bodies.append([(i, line) for i, (line, label) in enumerate(zip(content.split("\n"), labels), 1) if label != BAD])
-                yield _frame(part["web_id"], part["language"], field.label(bodies))
-
-    return rows.mapInPandas(judge, _JUDGED.replace("lang string", "label string, lang string", 1))
-
+                for content, html, title in zip(*(t.to_pylist() for t in texts)):
+                    judged = line_labels(content, html, title)
+                    bodies.append([(i, line) for i, (line, label) in enumerate(zip(content.split("\n"), judged), 1) if label != BAD])
+                yield _result(ids, labels, field.label(bodies))
 
-def _frame(ids, labels, found) -> pd.DataFrame:
-    lines = [[{"line_no": n, "lang": lang, "confidence": sure} for n, lang, sure in others] for _, _, others in found]
-    return pd.DataFrame({"rec_id": list(ids), "label": list(labels), "lang": [f[0] for f in found], "confidence": [f[1] for f in found], "lines": lines})
+    return rows.mapInArrow(judge, _JUDGED)
 
 
 def labelled_texts(pages: DataFrame, chunks: DataFrame) -> DataFrame:
