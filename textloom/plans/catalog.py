@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from textloom.plans import code, events, rag, relational, search, text, vectors, web
+
+_GROUPS = (search, text, vectors, web, rag, code, events, relational)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for group in _GROUPS for name, query in group.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: statement for group in _GROUPS for name, statement in group.SQL.items()}
