@@ -28,7 +28,7 @@ PLACEHOLDER = {kind: f"[{kind.upper()}]" for kind in KINDS}
 ROUNDS, SURE, NAME_SURE = 3, 0.75, 0.4
 #: A name word needs this many different partners that are names already.
 MIN_PARTNERS = 2
-#: Learned name words are broadcast up to this many (about 30 bytes each).
+#: Name words are broadcast in blocks of about this many of a role (about 30 bytes each).
 LEXICON_ROWS = 1_000_000
 
 # fixed values: seeds. Left contexts that announce a kind of number (the last kind is: not personal).
@@ -366,11 +366,26 @@ def find_pii(chunks: DataFrame, names: DataFrame) -> DataFrame:
 
 def named_spans(chunks: DataFrame, words: DataFrame) -> DataFrame:
     """(chunk_id, kind, start, stop) of the names made of the given words."""
-    n = words.count()
-    if n > LEXICON_ROWS:
-        raise ValueError(f"{n} name words are more than LEXICON_ROWS ({LEXICON_ROWS}); raise NAME_SURE or the bound")
-    rows = words.collect()
-    lexicon = chunks.sparkSession.sparkContext.broadcast(({r.word for r in rows if r.role == "given"}, {r.word for r in rows if r.role == "family"}))
+    sizes = {r.role: r["count"] for r in words.groupBy("role").count().collect()}  # two rows
+    blocks = {role: max(1, -(-sizes.get(role, 0) // LEXICON_ROWS)) for role in ("given", "family")}
+    texts = chunks.where(F.col("content").isNotNull()).select("chunk_id", "content")
+    found = None
+    # a name needs one word of each role, so every block of given names meets every block of family names
+    for g in range(blocks["given"]):
+        for f in range(blocks["family"]):
+            part = texts.mapInPandas(_finding(chunks.sparkSession, _block(words, "given", blocks, g), _block(words, "family", blocks, f)), "chunk_id string, kind string, start int, stop int")
+            found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _block(words: DataFrame, role: str, blocks: dict[str, int], at: int) -> set[str]:
+    """One block of at most about LEXICON_ROWS words of a role."""
+    mine = words.where((F.col("role") == role) & (F.pmod(F.xxhash64("word"), F.lit(blocks[role])) == at))
+    return {r.word for r in mine.select("word").collect()}
+
+
+def _finding(spark, given: set[str], family: set[str]):
+    lexicon = spark.sparkContext.broadcast((given, family))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = NameFinder(*lexicon.value)
@@ -378,7 +393,7 @@ def named_spans(chunks: DataFrame, words: DataFrame) -> DataFrame:
             out = [(chunk_id, "name", start, stop) for chunk_id, text in zip(batch["chunk_id"], batch["content"]) for start, stop in finder.spans(text)]
             yield pd.DataFrame(out, columns=["chunk_id", "kind", "start", "stop"])
 
-    return chunks.where(F.col("content").isNotNull()).select("chunk_id", "content").mapInPandas(find, "chunk_id string, kind string, start int, stop int")
+    return find
 
 
 def placed(content: Column, spans: Column) -> Column:
