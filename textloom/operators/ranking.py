@@ -128,7 +128,7 @@ def parsed_score(reply: Column) -> Column:
         F.when(low.contains("excellent"), 0.9).when(low.contains("not relevant") | low.contains("irrelevant"), 0.1).when(low.contains("highly"), 0.9)
         .when(low.contains("somewhat"), 0.5).when(low.contains("slightly"), 0.3).when(low.contains("relevant"), 0.7)
     )
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled)), ladder, F.lit(0.5))
+    return F.coalesce(F.when(scaled.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled))), ladder, F.lit(0.5))
 
 
 def parsed_winner(reply: Column) -> Column:

@@ -160,7 +160,7 @@ SELECT qid, doc_id, wins, round(CASE WHEN max(wins) OVER (PARTITION BY qid) > 0
 
 _SCORE_PARSE = r"""
 WITH r AS (SELECT conv_id, turn, text, lower(text) AS low, TRY_CAST(nullif(regexp_extract(text, '([0-9]+(?:\.[0-9]+)?)', 1), '') AS DOUBLE) AS v FROM conversations WHERE text IS NOT NULL AND lower(role) = 'assistant')
-SELECT conv_id, turn, round(coalesce(least(1.0, greatest(0.0, CASE WHEN v > 10 THEN v / 100 WHEN v > 1 THEN v / 10 ELSE v END)),
+SELECT conv_id, turn, round(coalesce(CASE WHEN v > 10 THEN least(1.0, v / 100) WHEN v > 1 THEN v / 10 WHEN v >= 0 THEN v END,
   CASE WHEN contains(low, 'excellent') THEN 0.9 WHEN contains(low, 'not relevant') OR contains(low, 'irrelevant') THEN 0.1 WHEN contains(low, 'highly') THEN 0.9
        WHEN contains(low, 'somewhat') THEN 0.5 WHEN contains(low, 'slightly') THEN 0.3 WHEN contains(low, 'relevant') THEN 0.7 END, 0.5), 6) AS score,
   CASE WHEN contains(low, 'document a') AND NOT contains(low, 'document b') THEN 1 WHEN contains(low, 'document b') AND NOT contains(low, 'document a') THEN -1
