@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Runs that are neither letters, digits, underscore nor white space (the same set in Java and RE2).
-NO_WORD = r"[^\p{L}\p{N}_\s]+"
-
 #: Frequent words for the four-language detector.
 DETECT_WORDS = {
     "en": ["the", "and", "of", "to", "in", "is", "that", "for", "with", "are", "this", "from", "by", "at"],
@@ -37,8 +34,8 @@ def pieces(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-case words of at least two characters."""
-    return F.filter(pieces(F.regexp_replace(F.lower(text), NO_WORD, " ")), lambda w: F.length(w) > 1)
+    """Lower-case words of at least two characters: runs of letters, digits and underscores."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
 def token_estimate(text: Column) -> Column:
@@ -85,28 +82,36 @@ def redacted(text: Column) -> Column:
     return text
 
 
-def _is_one_of(known: list[str]):
-    return lambda w: w.isin(*known)
-
-
 def detected_language(text: Column) -> Column:
     """Language with the largest share of its frequent words among the first 100; ``unknown`` for short text or a share of 0.1 or less.
 
-    Ties go to en, de, fr, es in this order.
+    Ties go to en, de, fr, es in this order.  One fold over the words counts for
+    all languages, so the words are made once.
     """
     first = F.slice(F.filter(F.split(F.lower(stripped(text)), r"\s+"), lambda w: w != ""), 1, 100)
-    n = F.size(first)
-    hits = {code: F.size(F.filter(first, _is_one_of(known))) for code, known in DETECT_WORDS.items()}
-    best = F.greatest(*hits.values())
-    code = F.coalesce(*[F.when(hits[c] == best, F.lit(c)) for c in DETECT_WORDS])
-    known = (F.length(stripped(text)) >= 10) & (best * 10 > n)
-    return F.when(known, code).otherwise(F.lit("unknown"))
+    none = F.struct(F.lit(0).alias("n"), *[F.lit(0).alias(code) for code in DETECT_WORDS])
+
+    def count(acc: Column, w: Column) -> Column:
+        hits = [(acc[code] + w.isin(*known).cast("int")).alias(code) for code, known in DETECT_WORDS.items()]
+        return F.struct((acc["n"] + 1).alias("n"), *hits)
+
+    def best(acc: Column) -> Column:
+        top = F.greatest(*[acc[code] for code in DETECT_WORDS])
+        return F.when(top * 10 > acc["n"], F.coalesce(*[F.when(acc[code] == top, F.lit(code)) for code in DETECT_WORDS])).otherwise(F.lit("unknown"))
+
+    return F.when(F.length(stripped(text)) >= 10, F.aggregate(first, none, count, best)).otherwise(F.lit("unknown"))
+
+
+def piece_count(text: Column) -> Column:
+    """Number of pieces between white space, without a lambda, so the plan computes it once however often it is used."""
+    bare = stripped(text)
+    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, r"\s+")))
 
 
 def quality_score(text: Column, pii: Column, language: Column) -> Column:
     """1.0, lowered for short texts, few words, many signs and personal data, raised for long and known ones; at most 1."""
-    n = F.size(pieces(text))
-    signs = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]", "")) / F.length(text)
+    n = piece_count(text)
+    signs = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]+", "")) / F.length(text)
     score = (
         F.when(F.length(text) < 50, 0.5).otherwise(1.0)
         * F.when(n < 10, 0.6).when(n > 100, 1.1).otherwise(1.0)

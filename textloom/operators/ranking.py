@@ -8,19 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from textloom.functions.once import computed_once
 from textloom.functions.text import words
+from textloom.session import checkpointed
 
 K1, B = 1.5, 0.75
 
 
 def postings(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, dl, tokens) of documents with at least one word, spread by document.
-
-    Spread once by the document, the per-document sums of the scorers need no
-    further exchange.
-    """
-    tokens = documents.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
-    return tokens.withColumn("dl", F.size("tokens"))
+    """(doc_id, dl, tokens): each document's words and their number; null text has none."""
+    given = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    tokens = F.coalesce(words(F.col("text")), F.array().cast("array<string>"))
+    return computed_once(given, tokens=tokens).select("doc_id", "tokens", F.size("tokens").alias("dl"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -31,29 +30,48 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def matches(documents: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, doc_id, dl, term, qtf, tf, df, n_docs, avgdl) of each query word a document has.
 
-    Only words of some query leave their document; totals are one row.
+    Texts are read and split once: a document leaves one row for each different
+    query word it has, and one without a word that carries its length for the
+    totals.  These rows are written, and document frequencies, totals and scores
+    come from them.
     """
-    docs = postings(documents).repartition("doc_id")
     terms = query_terms(queries)
-    totals = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     vocabulary = terms.select("term").distinct()
-    tf = docs.select("doc_id", "dl", F.explode("tokens").alias("term")).join(vocabulary, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = terms.join(df, "term").crossJoin(F.broadcast(totals))  # totals: one row
+    docs = postings(documents).select("doc_id", "dl", F.explode(F.array_append("tokens", F.lit(None).cast("string"))).alias("term"))
+    known = vocabulary.withColumn("asked", F.lit(True))
+    rows = docs.join(known, "term", "left").where("asked or term is null").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    rows = checkpointed(documents.sparkSession, rows)
+    totals = rows.where("term is null and dl > 0").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    tf = rows.where("term is not null")
+    weighted = terms.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(totals))  # totals: one row
     return tf.join(weighted, "term")
 
 
-def bm25(documents: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25_scores(matched: DataFrame) -> DataFrame:
     """(qid, doc_id, score), Okapi weights with idf ln((N - df + 0.5) / (df + 0.5)), negative for common words."""
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return matches(documents, queries).groupBy("qid", "doc_id").agg(F.sum(weight).alias("score"))
+    return matched.groupBy("qid", "doc_id").agg(F.sum(weight).alias("score"))
 
 
-def tfidf(documents: DataFrame, queries: DataFrame) -> DataFrame:
+def tfidf_scores(matched: DataFrame) -> DataFrame:
     """(qid, doc_id, score) with tf / length times ln(N / (df + 1))."""
     weight = F.col("qtf") * F.col("tf") / F.col("dl") * F.log(F.col("n_docs") / (F.col("df") + 1))
-    return matches(documents, queries).groupBy("qid", "doc_id").agg(F.sum(weight).alias("score"))
+    return matched.groupBy("qid", "doc_id").agg(F.sum(weight).alias("score"))
+
+
+def bm25(documents: DataFrame, queries: DataFrame) -> DataFrame:
+    return bm25_scores(matches(documents, queries))
+
+
+def tfidf(documents: DataFrame, queries: DataFrame) -> DataFrame:
+    return tfidf_scores(matches(documents, queries))
+
+
+def hybrid(documents: DataFrame, queries: DataFrame, bm25_weight: float = 0.6, tfidf_weight: float = 0.4) -> DataFrame:
+    """Both scorers over one set of matches, each over its top, summed by document."""
+    matched = matches(documents, queries)
+    return fused(bm25_scores(matched), tfidf_scores(matched), bm25_weight, tfidf_weight)
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", key: str = "qid", tie: str = "doc_id") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textloom.functions import text as fx
+from textloom.functions.once import computed_once
 from textloom.operators.chunking import chunked
 
 #: Supported file types, and media types of names without an extension.
@@ -60,11 +61,11 @@ def ingested(documents: DataFrame, threshold: float = 0.7) -> DataFrame:
 
     Sizes are those of the text before redaction; language and quality are judged after it.
     """
-    chunks = chunked(documents)
-    sized = chunks.withColumn("chars", F.length("content")).withColumn("words", F.size(fx.pieces(F.col("content"))))
-    flagged = sized.withColumn("contains_pii", fx.has_pii(F.col("content"))).withColumn("content", fx.redacted(F.col("content")))
-    known = flagged.withColumn("language", fx.detected_language(F.col("content")))
-    return known.withColumn("quality", fx.quality_score(F.col("content"), F.col("contains_pii"), F.col("language"))).where(F.col("quality") >= threshold)
+    content = F.col("content")
+    clean = computed_once(chunked(documents), chars=F.length(content), words=fx.piece_count(content), contains_pii=fx.has_pii(content), content=fx.redacted(content))
+    known = computed_once(clean, language=fx.detected_language(content))
+    scored = computed_once(known, quality=fx.quality_score(content, F.col("contains_pii"), F.col("language")))
+    return scored.where(F.col("quality") >= threshold)
 
 
 def hash_vectors(texts: DataFrame, key: str, dim: int = EMBED_DIM) -> DataFrame:

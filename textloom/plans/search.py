@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from textloom.operators import ranking
 from textloom.plans import sql
+from textloom.session import spread
 from textloom.sources.tables import table
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", "source", "user_id")
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "source", "user_id"))
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,8 +47,7 @@ def tfidf_with_prior(spark, sf):
 
 
 def _hybrid(spark, sf):
-    docs, asked = _documents(spark, sf), _queries(spark, sf)
-    return ranking.fused(ranking.bm25(docs, asked), ranking.tfidf(docs, asked), 0.6, 0.4)
+    return ranking.hybrid(_documents(spark, sf), _queries(spark, sf))
 
 
 def hybrid_topk(spark, sf):

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from textloom.functions import text as fx
+from textloom.functions.once import computed_once
 from textloom.operators import chunking, knn, text
 from textloom.plans import sql
+from textloom.session import spread
 from textloom.sources.tables import table
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", "source", "lang", "user_id", "namespace")
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "source", "lang", "user_id", "namespace"))
 
 
 def _given(spark, sf):
@@ -64,9 +66,10 @@ def lang_confusion(spark, sf):
 
 
 def _scored(spark, sf):
-    docs = _given(spark, sf).where("text <> ''")
-    seen = docs.withColumn("pii", fx.has_pii(F.col("text"))).withColumn("clean", fx.redacted(F.col("text"))).withColumn("language", fx.detected_language(F.col("clean")))
-    return seen.select("doc_id", fx.quality_score(F.col("clean"), F.col("pii"), F.col("language")).alias("quality"))
+    docs = _given(spark, sf).where("text <> ''").select("doc_id", "text")
+    seen = computed_once(docs, pii=fx.has_pii(F.col("text")), clean=fx.redacted(F.col("text")))
+    known = computed_once(seen.drop("text"), language=fx.detected_language(F.col("clean")))
+    return computed_once(known, quality=fx.quality_score(F.col("clean"), F.col("pii"), F.col("language"))).select("doc_id", "quality")
 
 
 def quality_score(spark, sf):

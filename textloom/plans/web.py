@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from textloom.functions.once import computed_once
 from textloom.operators import ranking, web
 from textloom.plans import sql
+from textloom.session import spread
 from textloom.sources.tables import table
 
 ENGINES = ("engine_a", "engine_b", "feed")
@@ -33,12 +35,13 @@ def engine_merge(spark, sf):
 
 
 def html_title_lang(spark, sf):
-    pages = table(spark, sf, "web_content").where("raw_html is not null").select("web_id", "raw_html")
+    pages = spread(table(spark, sf, "web_content").where("raw_html is not null").select("web_id", "raw_html"))
     return pages.select("web_id", web.html_title(F.col("raw_html")).alias("title"), web.html_language(F.col("raw_html")).alias("language"))
 
 
 def html_main_text(spark, sf):
-    pages = table(spark, sf, "web_content").where("raw_html is not null").select("web_id", web.html_text(F.col("raw_html")).alias("text"))
+    pages = spread(table(spark, sf, "web_content").where("raw_html is not null").select("web_id", "raw_html"))
+    pages = computed_once(pages, text=web.html_text(F.col("raw_html")))
     return pages.select("web_id", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"))
 
 

@@ -28,6 +28,19 @@ def build_session(cores: int | str = "*", app: str = "textloom", **conf: str) ->
     return spark
 
 
+#: Inputs below this estimate are spread over all cores: a small file is one row group and so one task.
+SMALL_BYTES = 8 << 20
+
+
+def spread(df):
+    """``df`` over all cores if it is small; larger inputs keep the partitions of their files and are not shuffled.
+
+    For operators that spend much on each row.  The estimate is the optimizer's, so no job runs for it.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
 def checkpointed(spark: SparkSession, df):
     """Cut the lineage with a reliable checkpoint.
 
