@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.llm import code_pairs, encode, encoding_repair, language, main_body, mixture, pii, site_lines
+from textloom.session import spread
 from textloom.sources.tables import table
 
 
+def _texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows take long each, over all cores if its file is small."""
+    return spread(table(spark, sf, name))
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return code_pairs.code_description_pairs(table(spark, sf, "code_elements")).select("element_id").distinct()
+    return code_pairs.code_description_pairs(_texts(spark, sf, "code_elements")).select("element_id").distinct()
 
 
 def p1_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return code_pairs.code_description_pairs(table(spark, sf, "code_elements"))
+    return code_pairs.code_description_pairs(_texts(spark, sf, "code_elements"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,27 +32,27 @@ def p2_removed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    spans = pii.find_pii(table(spark, sf, "document_chunks"), table(spark, sf, "person_names"))
+    spans = pii.find_pii(_texts(spark, sf, "document_chunks"), table(spark, sf, "person_names"))
     return spans.select("chunk_id", "kind", (F.col("start") + 1).cast("int").alias("start_pos")).distinct()
 
 
 def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    done = pii.redact(table(spark, sf, "document_chunks"), table(spark, sf, "person_names"))
+    done = pii.redact(_texts(spark, sf, "document_chunks"), table(spark, sf, "person_names"))
     return done.select("chunk_id", "content", "contains_pii")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "web_content").where("content is not null and raw_html is not null")
+    pages = _texts(spark, sf, "web_content").where("content is not null and raw_html is not null")
     marked = main_body.mark_furniture(pages.select("web_id", "content", "raw_html", "title"))
     return marked.select("web_id", F.explode("furniture_lines").alias("line_no")).distinct()
 
 
 def p4_body(spark: SparkSession, sf: str) -> DataFrame:
-    return main_body.main_body(table(spark, sf, "web_content"))
+    return main_body.main_body(_texts(spark, sf, "web_content"))
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
-    return language.identify(table(spark, sf, "web_content"), table(spark, sf, "document_chunks"))
+    return language.identify(_texts(spark, sf, "web_content"), _texts(spark, sf, "document_chunks"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,30 +64,30 @@ def p5_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return encode.encode_corpus(table(spark, sf, "documents"))
+    return encode.encode_corpus(_texts(spark, sf, "documents"))
 
 
 def p6_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    ids = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("ids", encode.token_ids(F.col("text")))
+    ids = _texts(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("ids", encode.token_ids(F.col("text")))
     back = ids.withColumn("back", encode.token_text(F.col("ids")))
     return back.select("doc_id", F.size("ids").cast("bigint").alias("tokens"), (F.col("back") == F.col("text")).alias("same"))
 
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return mixture.share_report(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+    return mixture.share_report(_texts(spark, sf, "documents"), table(spark, sf, "mix_targets"))
 
 
 def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    return mixture.mix_sources(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+    return mixture.mix_sources(_texts(spark, sf, "documents"), table(spark, sf, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf, "documents").select("doc_id", "text")
     return encoding_repair.repair_encoding(docs).where("repaired.garbled").select("doc_id").distinct()
 
 
 def p8_repaired(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf, "documents").select("doc_id", "text")
     fixed = encoding_repair.repair_encoding(docs).where("repaired.garbled")
     return fixed.select("doc_id", F.col("repaired.text").alias("text"), F.col("repaired.steps").alias("steps"))
 
