@@ -33,7 +33,7 @@ STEPS = 30
 #: Fewer letters of natural language than this give no language to a row, and to a line none of its own.
 MIN_LETTERS = 40
 #: A line has a language of its own only if the field is at least this sure of it.
-MIN_SURE = 0.6
+MIN_SURE = 0.55
 #: A sequence longer than this many words is cut there for the field; its parts keep all their words.
 MAX_WORDS = 1500
 
