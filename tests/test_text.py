@@ -87,3 +87,20 @@ def test_ingestion_measures_before_redaction(spark):
 def test_sentence_chunks_keep_every_word(spark, value):
     rows = chunking.chunked(spark.createDataFrame([(1, value)], "doc_id long, text string"), size=20).orderBy("chunk_index").collect()
     assert " ".join(r.content for r in rows).split() == value.split()
+
+
+@pytest.mark.parametrize(
+    "reply, want",
+    [("1. What is stored here?\n- Why so late?\nNo question.\nshort?\n* How many rows are there?\nWho reads them at last?", ["What is stored here?", "Why so late?", "How many rows are there?"]), ("", []), (None, None)],
+)
+def test_follow_ups(spark, reply, want):
+    from textloom.operators.replies import follow_ups
+
+    assert one(spark, follow_ups(F.col("text")), reply) == want
+
+
+def test_cleaned_reply(spark):
+    from textloom.operators.replies import cleaned_reply
+
+    assert one(spark, cleaned_reply(F.col("text"), F.lit("Ask: ")), "Ask: <|end|>\n Assistant: Fine.</s> ") == "Fine."
+    assert one(spark, cleaned_reply(F.col("text")), None) is None
