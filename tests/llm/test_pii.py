@@ -111,3 +111,10 @@ def test_empty_tables(spark):
     assert pii.find_pii(spark.createDataFrame([], CHUNKS), names).count() == 0
     one = spark.createDataFrame([("a", "Ann Miller, ann@example.org", None, "x", 1, "y")], CHUNKS)
     assert {r.kind for r in pii.find_pii(one, names).collect()} == {"email"}
+
+
+def test_null_and_shared_ids_are_redacted(spark):
+    names = spark.createDataFrame([(1, "Ann", "given", "w"), (2, "Miller", "family", "w")], NAMES)
+    rows = [(None, "By Ann Miller.", None, "x", 1, "y"), ("a", "By Ann Miller.", None, "x", 1, "y"), ("a", "Mail ann@example.org now.", None, "x", 1, "y"), (None, None, True, "x", 1, "y")]
+    got = sorted((r.content or "", r.contains_pii) for r in pii.redact(spark.createDataFrame(rows, CHUNKS), names).collect())
+    assert got == [("", False), ("By [NAME].", True), ("By [NAME].", True), ("Mail [EMAIL] now.", True)]

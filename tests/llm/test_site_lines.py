@@ -65,3 +65,10 @@ def test_cleaned_pages(spark):
 
 def test_empty(spark):
     assert mark_repeated(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_null_and_shared_ids(spark):
+    own = [chr(97 + i) * 5 for i in range(12)]
+    rows = [(None if i % 2 else 7, f"https://a.test/{i}", "a.test", f"Home\n{w}" if i % 3 else f"{w}\nHome", "s", "l") for i, w in enumerate(own)]
+    got = without_repeated(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.content for r in got) == own and all(r.removed_lines == 1 for r in got)

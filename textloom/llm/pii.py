@@ -410,7 +410,11 @@ def placed(content: Column, spans: Column) -> Column:
 
 def redact(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """``chunks`` with content redacted and contains_pii set right; null content stays null with contains_pii false."""
-    spans = find_pii(chunks, names).distinct().groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind"))).alias("_spans"))
-    joined = chunks.join(spans, "chunk_id", "left")
+    # rows are told apart by id and content, so an id that is null or comes with two contents is safe
+    key = F.concat_ws("|", F.coalesce("chunk_id", F.lit("")), F.xxhash64("content").cast("string"), F.length("content").cast("string"))
+    keyed = chunks.withColumn("_key", key)
+    found = find_pii(keyed.select(F.col("_key").alias("chunk_id"), "content").distinct(), names).distinct()
+    spans = found.groupBy(F.col("chunk_id").alias("_key")).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind"))).alias("_spans"))
+    joined = keyed.join(spans, "_key", "left").drop("_key")
     content = F.when(F.col("_spans").isNull() | F.col("content").isNull(), F.col("content")).otherwise(placed(F.col("content"), F.col("_spans")))
     return joined.withColumn("content", content).withColumn("contains_pii", F.col("_spans").isNotNull()).drop("_spans")

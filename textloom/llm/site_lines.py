@@ -41,14 +41,19 @@ def letters_of(line: Column) -> Column:
     return F.regexp_replace(F.lower(line), r"[^\p{L}]+", "")
 
 
+def row_key() -> Column:
+    """Tells rows apart by all that their lines depend on."""
+    return F.xxhash64("web_id", "url", "domain", "content")
+
+
 def page_lines(pages: DataFrame) -> DataFrame:
-    """(web_id, url, site, line_no, line, line_key) of each line that has letters; lines split at ``\\n``, counted from 1."""
+    """(web_id, row_key, site, line_no, line, line_key) of each line that has letters; lines split at ``\\n``, counted from 1."""
     site = site_of(F.col("domain"), F.col("url"))
     lines = pages.where(F.col("content").isNotNull()).select(
-        "web_id", "url", site.alias("site"), F.posexplode(F.split("content", "\n")).alias("at", "line")
+        "web_id", row_key().alias("row_key"), site.alias("site"), F.posexplode(F.split("content", "\n")).alias("at", "line")
     )
     keyed = lines.withColumn("letters", letters_of(F.col("line"))).where("letters <> ''")
-    return keyed.select("web_id", "url", "site", (F.col("at") + 1).alias("line_no"), "line", F.xxhash64("site", "letters").alias("line_key"))
+    return keyed.select("web_id", "row_key", "site", (F.col("at") + 1).alias("line_no"), "line", F.xxhash64("site", "letters").alias("line_key"))
 
 
 def _summaries(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -101,31 +106,38 @@ def repeated_lines(pages: DataFrame, min_urls: int = MIN_URLS, size: int = SUMMA
     return pairs.groupBy("line_key").agg(F.count("*").alias("urls")).where(F.col("urls") >= min_urls).select("line_key")
 
 
+def _marks(pages: DataFrame, min_urls: int, size: int) -> DataFrame:
+    """(web_id, row_key, line_no) of each occurrence of a repeated line."""
+    confirmed = checkpointed(pages.sparkSession, repeated_lines(pages, min_urls, size))
+    if confirmed.count() <= BROADCAST_ROWS:
+        confirmed = F.broadcast(confirmed)
+    return page_lines(pages).join(confirmed, "line_key", "left_semi").select("web_id", "row_key", "line_no")
+
+
 def mark_repeated(pages: DataFrame, min_urls: int = MIN_URLS, size: int = SUMMARY_SIZE) -> DataFrame:
     """(web_id, line_no) of each occurrence of a repeated line.
 
     Null content has no lines; blank lines and lines without letters are never
-    cases; rows without domain and url form one site of their own.  A row that
-    repeats gives the same line twice in the input but one row in the result.
+    cases; rows without domain and url form one site of their own; a null url is
+    no url.  A row that repeats gives one row in the result.
     """
-    spark = pages.sparkSession
-    confirmed = checkpointed(spark, repeated_lines(pages, min_urls, size))
-    if confirmed.count() <= BROADCAST_ROWS:
-        confirmed = F.broadcast(confirmed)
-    return page_lines(pages).join(confirmed, "line_key", "left_semi").select("web_id", "line_no").distinct()
+    return _marks(pages, min_urls, size).select("web_id", "line_no").distinct()
 
 
 def without_repeated(pages: DataFrame, min_urls: int = MIN_URLS, size: int = SUMMARY_SIZE) -> DataFrame:
     """``pages`` with the repeated lines taken out of content, and their number as ``removed_lines``.
 
-    Null content stays null with 0 removed lines.
+    Null content stays null with 0 removed lines.  Rows are told apart by id and
+    content, so an id may be null or come with several contents.
     """
-    marks = mark_repeated(pages, min_urls, size).groupBy("web_id").agg(F.collect_set("line_no").alias("_gone"))
+    marks = _marks(pages, min_urls, size).groupBy("web_id", "row_key").agg(F.collect_set("line_no").alias("_gone"))
+    marks = marks.select(F.col("web_id").alias("_id"), F.col("row_key").alias("_row"), "_gone")
     lines = F.split("content", "\n")
     kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("_gone"), i + 1))
     return (
-        pages.join(marks, "web_id", "left")
+        pages.withColumn("_key", row_key())
+        .join(marks, (F.col("_key") == F.col("_row")) & F.col("web_id").eqNullSafe(F.col("_id")), "left")
         .withColumn("content", F.when(F.col("_gone").isNull(), F.col("content")).otherwise(F.array_join(kept, "\n")))
         .withColumn("removed_lines", F.coalesce(F.size("_gone"), F.lit(0)))
-        .drop("_gone")
+        .drop("_gone", "_key", "_row", "_id")
     )
