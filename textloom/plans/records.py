@@ -76,9 +76,11 @@ def namespaces(spark, sf):
 QUERIES = {f.__name__: f for f in (reply_clean, follow_up_questions, scoring_prompts, context_summary, knowledge_records, metadata_pages, delete_preview, upload_status, namespaces)}
 
 _QUESTIONS = r"""[q for q in [regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^(?:[-*•]|[0-9]+[.)])\s*', '') for x in string_split(regexp_replace(regexp_replace(text, '\?\s+', '?' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))] if length(q) > 10 AND ends_with(q, '?')]"""
+_ECHOED = "'<|assistant|> ' || coalesce(role, '') || ': ' || text"
+_UNTAGGED = sql.strip(rf"regexp_replace({_ECHOED}, '<\|[A-Za-z_]+\|>|</?s>', '', 'g')")
+_UNROLED = rf"regexp_replace({_UNTAGGED}, '^(?:[Aa]ssistant|[Aa]nswer|[Bb]ot)\s*:\s*', '')"
 SQL = {
-    "reply_clean": rf"""SELECT conv_id, turn, received_at, md5({sql.strip(f"regexp_replace({sql.strip("regexp_replace('<|assistant|> ' || coalesce(role, '') || ': ' || text, '<\\|[A-Za-z_]+\\|>|</?s>', '', 'g')")}, '^(?:[Aa]ssistant|[Aa]nswer|[Bb]ot)\s*:\s*', '')")}) AS digest
-        FROM conversations WHERE text IS NOT NULL""",
+    "reply_clean": f"SELECT conv_id, turn, received_at, md5({sql.strip(_UNROLED)}) AS digest FROM conversations WHERE text IS NOT NULL",
     "follow_up_questions": f"""SELECT conv_id, turn, received_at, len(asked) AS questions, asked[1] AS first FROM (SELECT conv_id, turn, received_at, list_slice({_QUESTIONS}, 1, 3) AS asked FROM conversations WHERE text IS NOT NULL) WHERE len(asked) > 0""",
     "scoring_prompts": f"""WITH {search._BASE}, r AS ({search._top('bm', 20)})
         SELECT qid, doc_id, md5('Rate from 0 to 10 how well the document answers the question.' || chr(10) || 'Question: ' || q.text || chr(10) || 'Document: ' || CASE WHEN length(t.text) > 500 THEN substr(t.text, 1, 500) || '...' ELSE t.text END || chr(10) || 'Score:') AS digest
