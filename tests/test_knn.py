@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from textloom.operators import knn
+from textloom.plans.vectors import knn_bucketed_recall
 
 RNG = np.random.default_rng(0)
 ROWS = RNG.normal(size=(400, 64))
@@ -49,6 +50,19 @@ def test_bucketed_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_bucketed_recall_on_the_given_embeddings(spark, data):
+    got = knn_bucketed_recall(spark, data).first()
+    assert got.wanted == 50 and got.recall >= 0.9
+
+
+def test_probes_are_the_bucket_and_those_one_bit_away(tables):
+    own = {(r.vec_id, r.table): r.bucket for r in knn.signatures(tables[1].withColumnRenamed("qid", "vec_id"), 64).collect()}
+    near = {}
+    for r in knn.signatures(tables[1].withColumnRenamed("qid", "vec_id"), 64, near=True).collect():
+        near.setdefault((r.vec_id, r.table), []).append(r.bucket)
+    assert {k: sorted(v) for k, v in near.items()} == {k: sorted([b, *(b ^ (1 << i) for i in range(6))]) for k, b in own.items()}
+
+
 def test_empty(tables):
     vectors, asked = tables
     assert knn.knn(vectors, asked.limit(0), 5).count() == 0

@@ -65,9 +65,10 @@ def _block_scorer(shared, k: int):
     return score
 
 
-def signatures(vectors: DataFrame, dim: int, tables: int = 16, bits: int = 6, seed: int = 7) -> DataFrame:
-    """(vec_id, vector, table, bucket) for each hash table: sign bits against fixed random planes."""
+def signatures(vectors: DataFrame, dim: int, tables: int = 16, bits: int = 6, seed: int = 7, near: bool = False) -> DataFrame:
+    """(vec_id, table, bucket) for each hash table: sign bits against fixed random planes; ``near`` adds the buckets one bit away."""
     planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
+    flips = np.array([0, *(1 << np.arange(bits))]) if near else np.array([0])
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = 1 << np.arange(bits)
@@ -76,21 +77,25 @@ def signatures(vectors: DataFrame, dim: int, tables: int = 16, bits: int = 6, se
                 continue
             rows = np.array(batch["vector"].tolist(), dtype="float64")
             codes = ((np.einsum("tbd,nd->ntb", planes, rows) > 0) * weights).sum(axis=2)
-            yield pd.DataFrame({"vec_id": np.repeat(batch["vec_id"].to_numpy(), tables), "table": np.tile(np.arange(tables), len(rows)), "bucket": codes.ravel()})
+            probed = codes[:, :, None] ^ flips
+            ids, at = np.repeat(batch["vec_id"].to_numpy(), tables * len(flips)), np.tile(np.repeat(np.arange(tables), len(flips)), len(rows))
+            yield pd.DataFrame({"vec_id": ids, "table": at, "bucket": probed.ravel()})
 
     return vectors.where(F.col("vector").isNotNull()).select("vec_id", "vector").mapInPandas(sign, "vec_id bigint, table int, bucket int")
 
 
 def knn_bucketed(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables: int = 16, bits: int = 6) -> DataFrame:
-    """(qid, vec_id, score, rank) among rows that share a bucket with the query in some table.
+    """(qid, vec_id, score, rank) among rows whose bucket is the query's or one bit from it in some table.
 
-    Every row is indexed.  The index spreads by table and bucket; only ids meet,
-    vectors join the distinct pairs afterwards.
+    Every row is indexed once for each table; the query's side probes the buckets
+    at Hamming distance 1 as well, as neighbours at a wide angle seldom share all
+    bits.  The index spreads by table and bucket; only ids meet, vectors join the
+    distinct pairs afterwards.
     """
     from textloom.functions.vectors import cosine, doubles
 
     index = signatures(vectors, dim, tables, bits)
-    probes = signatures(queries.select(F.col("qid").alias("vec_id"), "vector"), dim, tables, bits).withColumnRenamed("vec_id", "qid")
+    probes = signatures(queries.select(F.col("qid").alias("vec_id"), "vector"), dim, tables, bits, near=True).withColumnRenamed("vec_id", "qid")
     pairs = index.join(probes, ["table", "bucket"]).select("qid", "vec_id").distinct()
     full = pairs.join(queries.select("qid", doubles(F.col("vector")).alias("q")), "qid").join(vectors.select("vec_id", doubles(F.col("vector")).alias("v")), "vec_id")
     scored = full.select("qid", "vec_id", F.round(cosine(F.col("q"), F.col("v")), 9).alias("score"))
