@@ -45,6 +45,15 @@ def test_zero_scores_keep_the_prior(spark):
     assert {r.doc_id: r.score for r in ranking.with_prior(zero, prior, 0.7, 0.3).collect()} == {1: 0.15, 2: 0.3}
 
 
+def test_a_document_without_a_prior_stays(spark):
+    scored = spark.createDataFrame([(1, 1, 4.0), (1, 2, 2.0), (1, 3, 1.0)], "qid long, doc_id long, score double")
+    prior = spark.createDataFrame([(2, 5.0), (3, None)], "doc_id long, prior double")
+    assert {r.doc_id: round(r.score, 6) for r in ranking.with_prior(scored, prior, 0.7, 0.3).collect()} == {1: 0.7, 2: 0.65, 3: 0.175}
+    assert {r.doc_id: round(r.score, 6) for r in ranking.with_prior(scored, prior, 0.7, 0.3, missing=1.0).collect()} == {1: 0.76, 2: 0.65, 3: 0.235}
+    none = ranking.with_prior(scored, prior.limit(0), 0.7, 0.3).collect()
+    assert {r.doc_id: round(r.score, 6) for r in none} == {1: 0.7, 2: 0.35, 3: 0.175}
+
+
 def test_ties_go_to_the_smaller_id(spark):
     tied = spark.createDataFrame([(1, 9, 1.0), (1, 3, 1.0), (1, 5, 1.0 + 1e-12)], "qid long, doc_id long, score double")
     assert [r.doc_id for r in ranking.top_k(tied, 2).orderBy("rank").collect()] == [3, 5]

@@ -96,9 +96,12 @@ def fused(left: DataFrame, right: DataFrame, left_weight: float, right_weight: f
     return both.select("qid", "doc_id", (left_weight * F.coalesce("a", F.lit(0.0)) + right_weight * F.coalesce("b", F.lit(0.0))).alias("score"))
 
 
-def with_prior(scored: DataFrame, prior: DataFrame, score_weight: float, prior_weight: float) -> DataFrame:
-    """Scores mixed with a prior (doc_id, prior), both over the largest of the query; all-zero scores leave the prior alone."""
-    both = scored.join(prior, "doc_id")
+def with_prior(scored: DataFrame, prior: DataFrame, score_weight: float, prior_weight: float, missing: float = 0.0) -> DataFrame:
+    """Scores mixed with a prior (doc_id, prior), both over the largest of the query; all-zero scores leave the prior alone.
+
+    Every scored document stays; one without a prior, or with a null one, has ``missing``.
+    """
+    both = scored.join(prior, "doc_id", "left").withColumn("prior", F.coalesce("prior", F.lit(missing)))
     mixed = F.coalesce(score_weight * by_top(F.col("score")), F.lit(0.0)) + F.coalesce(prior_weight * by_top(F.col("prior")), F.lit(0.0))
     return both.select("qid", "doc_id", mixed.alias("score"))
 

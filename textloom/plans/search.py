@@ -37,11 +37,27 @@ def tfidf_topk(spark, sf):
 
 
 def bm25_with_prior(spark, sf):
+    """Among documents that have a label, as the SQL twin has it; ``bm25_with_any_prior`` ranks them all."""
+    prior = _prior(spark, sf)
+    scored = ranking.bm25(_documents(spark, sf), _queries(spark, sf)).join(prior, "doc_id", "left_semi")
+    return _out(ranking.top_k(ranking.with_prior(scored, prior, 0.7, 0.3), 5))
+
+
+def tfidf_with_prior(spark, sf):
+    """Among documents that have a label, as the SQL twin has it; ``tfidf_with_any_prior`` ranks them all."""
+    prior = _prior(spark, sf)
+    scored = ranking.tfidf(_documents(spark, sf), _queries(spark, sf)).join(prior, "doc_id", "left_semi")
+    return _out(ranking.top_k(ranking.with_prior(scored, prior, 0.6, 0.4), 5))
+
+
+def bm25_with_any_prior(spark, sf):
+    """Among all documents; one without a label has a prior of 0."""
     scored = ranking.bm25(_documents(spark, sf), _queries(spark, sf))
     return _out(ranking.top_k(ranking.with_prior(scored, _prior(spark, sf), 0.7, 0.3), 5))
 
 
-def tfidf_with_prior(spark, sf):
+def tfidf_with_any_prior(spark, sf):
+    """Among all documents; one without a label has a prior of 0."""
     scored = ranking.tfidf(_documents(spark, sf), _queries(spark, sf))
     return _out(ranking.top_k(ranking.with_prior(scored, _prior(spark, sf), 0.6, 0.4), 5))
 
@@ -139,6 +155,12 @@ def _prior_sql(source: str, a: float, b: float) -> str:
     return f"WITH {_BASE}, m AS ({mixed}), r AS ({_top('m', 5)}) SELECT qid, doc_id, rank, round(score, 6) AS score FROM r"
 
 
+def _any_prior_sql(source: str, a: float, b: float) -> str:
+    mixed = f"""SELECT qid, doc_id, coalesce({a} * score / nullif(max(score) OVER (PARTITION BY qid), 0), 0) + coalesce({b} * coalesce(prior, 0) / nullif(max(coalesce(prior, 0)) OVER (PARTITION BY qid), 0), 0) AS score
+                FROM {source} LEFT JOIN prior USING (doc_id)"""
+    return f"WITH {_BASE}, m AS ({mixed}), r AS ({_top('m', 5)}) SELECT qid, doc_id, rank, round(score, 6) AS score FROM r"
+
+
 _DIVERSE = f"""
 WITH {_BASE}, r AS ({_top('hy', 20)}),
 s AS (SELECT r.*, list_distinct(d.tokens) AS toks FROM r JOIN d USING (doc_id)),
@@ -168,7 +190,7 @@ SELECT conv_id, turn, round(coalesce(CASE WHEN v > 10 THEN least(1.0, v / 100) W
 FROM r
 """
 
-QUERIES = {f.__name__: f for f in (bm25_topk, tfidf_topk, bm25_with_prior, tfidf_with_prior, hybrid_topk, hybrid_diverse, pairwise_tournament, similarity_rerank, rerank_method_choice, score_parse, rerank_cache_key)}
+QUERIES = {f.__name__: f for f in (bm25_topk, tfidf_topk, bm25_with_prior, tfidf_with_prior, bm25_with_any_prior, tfidf_with_any_prior, hybrid_topk, hybrid_diverse, pairwise_tournament, similarity_rerank, rerank_method_choice, score_parse, rerank_cache_key)}
 
 SQL = {
     "bm25_topk": _topk_sql("bm"),
@@ -176,6 +198,8 @@ SQL = {
     "hybrid_topk": _topk_sql("hy"),
     "bm25_with_prior": _prior_sql("bm", 0.7, 0.3),
     "tfidf_with_prior": _prior_sql("ti", 0.6, 0.4),
+    "bm25_with_any_prior": _any_prior_sql("bm", 0.7, 0.3),
+    "tfidf_with_any_prior": _any_prior_sql("ti", 0.6, 0.4),
     "hybrid_diverse": _DIVERSE,
     "pairwise_tournament": _TOURNAMENT,
     "similarity_rerank": f"""WITH {_BASE}, s AS (SELECT coalesce(source, '?') AS qid, doc_id, coalesce(prior, 1.0) AS score FROM documents LEFT JOIN prior USING (doc_id)), r AS ({_top('s', 10)})
