@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import code, events, rag, records, relational, search, text, vectors, web
+from textloom.plans import asking, code, events, rag, records, relational, search, text, vectors, web
 
-_GROUPS = (search, text, vectors, web, rag, records, code, events, relational)
+_GROUPS = (search, text, vectors, web, rag, records, code, events, relational, asking)
 
 
 def queries() -> dict:

@@ -10,38 +10,38 @@ from textloom.plans import search, sql
 from textloom.sources.tables import table
 
 
-def _ranked(spark: SparkSession, sf: str, k: int) -> DataFrame:
+def _ranked(spark: SparkSession, sf: str, k: int, questions) -> DataFrame:
     """The k best documents of each question, with what they hold; only listed documents meet their text."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "title", "source")
-    best = ranking.top_k(ranking.bm25(docs, search._queries(spark, sf)), k)
+    best = ranking.top_k(ranking.bm25(docs, questions(spark, sf)), k)
     return best.join(docs, "doc_id").withColumn("size", F.length("text"))
 
 
-def context_budget(spark, sf):
-    kept = context.within_budget(_ranked(spark, sf, 10))
+def context_budget(spark, sf, questions=search._queries):
+    kept = context.within_budget(_ranked(spark, sf, 10, questions))
     return kept.select("qid", "doc_id", F.col("rank").cast("bigint").alias("rank"), "upto")
 
 
-def rag_sources(spark, sf):
-    found = context.sources(_ranked(spark, sf, 5))
+def rag_sources(spark, sf, questions=search._queries):
+    found = context.sources(_ranked(spark, sf, 5, questions))
     return found.select("qid", F.col("rank").cast("bigint").alias("rank"), "doc_id", "title", F.md5("preview").alias("preview"), F.round("score", 6).alias("score"))
 
 
-def rag_prompt(spark, sf):
-    found = context.rag_prompt(_ranked(spark, sf, 3), search._queries(spark, sf))
+def rag_prompt(spark, sf, questions=search._queries):
+    found = context.rag_prompt(_ranked(spark, sf, 3, questions), questions(spark, sf))
     return found.select("qid", F.length("prompt").cast("bigint").alias("chars"), F.md5("prompt").alias("digest"))
 
 
-def rag_confidence(spark, sf):
+def rag_confidence(spark, sf, questions=search._queries):
     """Confidence of an answer that quotes the first sentence of the best document."""
-    ranked = _ranked(spark, sf, 5).withColumn("part", ranking.by_top(F.col("score")))
+    ranked = _ranked(spark, sf, 5, questions).withColumn("part", ranking.by_top(F.col("score")))
     got = ranked.groupBy("qid").agg(F.avg("part").alias("mean_score"), F.count("*").alias("n"), F.max(F.when(F.col("rank") == 1, F.size(fx.pieces(F.substring("text", 1, 100))))).alias("words"))
     return got.select("qid", F.round(context.answer_confidence(F.col("mean_score"), F.col("n"), F.col("words")), 6).alias("confidence"))
 
 
-def hybrid_mode_union(spark, sf):
+def hybrid_mode_union(spark, sf, questions=search._queries):
     """Two documents and one code element for each question, tagged by where they come from."""
-    asked = search._queries(spark, sf)
+    asked = questions(spark, sf)
     docs = ranking.top_k(ranking.bm25(table(spark, sf, "documents").select("doc_id", "text"), asked), 2).withColumn("tab", F.lit("documents"))
     elements = table(spark, sf, "code_elements").select(F.col("element_id").alias("doc_id"), F.concat_ws(" ", "name", "docstring").alias("text"))
     code = ranking.top_k(ranking.bm25(elements, asked), 1).withColumn("tab", F.lit("code_elements"))

@@ -23,16 +23,16 @@ def follow_up_questions(spark, sf):
     return rows.select("conv_id", "turn", "received_at", F.size("asked").cast("bigint").alias("questions"), F.get("asked", F.lit(0)).alias("first"))
 
 
-def scoring_prompts(spark, sf):
+def scoring_prompts(spark, sf, questions=search._queries):
     """Prompts for the twenty best documents of each question."""
-    docs, asked = search._documents(spark, sf), search._queries(spark, sf)
+    docs, asked = search._documents(spark, sf), questions(spark, sf)
     listed = ranking.top_k(ranking.bm25(docs, asked), 20).join(docs.select("doc_id", F.col("text").alias("doc_text")), "doc_id").join(asked, "qid")
     return listed.select("qid", "doc_id", F.md5(replies.scoring_prompt(F.col("text"), F.col("doc_text"))).alias("digest"))
 
 
-def context_summary(spark, sf):
+def context_summary(spark, sf, questions=search._queries):
     """The two best documents of each question, as title and start of text."""
-    docs, asked = search._documents(spark, sf), search._queries(spark, sf)
+    docs, asked = search._documents(spark, sf), questions(spark, sf)
     titles = table(spark, sf, "documents").select("doc_id", "title", F.col("text").alias("doc_text"))
     listed = ranking.top_k(ranking.bm25(docs, asked), 2).join(titles, "doc_id")
     line = F.concat(F.coalesce("title", F.lit("untitled")), F.lit(": "), F.substring("doc_text", 1, 75))

@@ -28,50 +28,50 @@ def _out(ranked: DataFrame, score: str = "score") -> DataFrame:
     return ranked.select("qid", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round(score, 6).alias("score"))
 
 
-def bm25_topk(spark, sf):
-    return _out(ranking.top_k(ranking.bm25(_documents(spark, sf), _queries(spark, sf)), 5))
+def bm25_topk(spark, sf, questions=_queries):
+    return _out(ranking.top_k(ranking.bm25(_documents(spark, sf), questions(spark, sf)), 5))
 
 
-def tfidf_topk(spark, sf):
-    return _out(ranking.top_k(ranking.tfidf(_documents(spark, sf), _queries(spark, sf)), 5))
+def tfidf_topk(spark, sf, questions=_queries):
+    return _out(ranking.top_k(ranking.tfidf(_documents(spark, sf), questions(spark, sf)), 5))
 
 
-def bm25_with_prior(spark, sf):
+def bm25_with_prior(spark, sf, questions=_queries):
     """Among documents that have a label, as the SQL twin has it; ``bm25_with_any_prior`` ranks them all."""
     prior = _prior(spark, sf)
-    scored = ranking.bm25(_documents(spark, sf), _queries(spark, sf)).join(prior, "doc_id", "left_semi")
+    scored = ranking.bm25(_documents(spark, sf), questions(spark, sf)).join(prior, "doc_id", "left_semi")
     return _out(ranking.top_k(ranking.with_prior(scored, prior, 0.7, 0.3), 5))
 
 
-def tfidf_with_prior(spark, sf):
+def tfidf_with_prior(spark, sf, questions=_queries):
     """Among documents that have a label, as the SQL twin has it; ``tfidf_with_any_prior`` ranks them all."""
     prior = _prior(spark, sf)
-    scored = ranking.tfidf(_documents(spark, sf), _queries(spark, sf)).join(prior, "doc_id", "left_semi")
+    scored = ranking.tfidf(_documents(spark, sf), questions(spark, sf)).join(prior, "doc_id", "left_semi")
     return _out(ranking.top_k(ranking.with_prior(scored, prior, 0.6, 0.4), 5))
 
 
-def bm25_with_any_prior(spark, sf):
+def bm25_with_any_prior(spark, sf, questions=_queries):
     """Among all documents; one without a label has a prior of 0."""
-    scored = ranking.bm25(_documents(spark, sf), _queries(spark, sf))
+    scored = ranking.bm25(_documents(spark, sf), questions(spark, sf))
     return _out(ranking.top_k(ranking.with_prior(scored, _prior(spark, sf), 0.7, 0.3), 5))
 
 
-def tfidf_with_any_prior(spark, sf):
+def tfidf_with_any_prior(spark, sf, questions=_queries):
     """Among all documents; one without a label has a prior of 0."""
-    scored = ranking.tfidf(_documents(spark, sf), _queries(spark, sf))
+    scored = ranking.tfidf(_documents(spark, sf), questions(spark, sf))
     return _out(ranking.top_k(ranking.with_prior(scored, _prior(spark, sf), 0.6, 0.4), 5))
 
 
-def _hybrid(spark, sf):
-    return ranking.hybrid(_documents(spark, sf), _queries(spark, sf))
+def _hybrid(spark, sf, questions=_queries):
+    return ranking.hybrid(_documents(spark, sf), questions(spark, sf))
 
 
-def hybrid_topk(spark, sf):
-    return _out(ranking.top_k(_hybrid(spark, sf), 5))
+def hybrid_topk(spark, sf, questions=_queries):
+    return _out(ranking.top_k(_hybrid(spark, sf, questions), 5))
 
 
-def hybrid_diverse(spark, sf):
-    ranked = ranking.top_k(_hybrid(spark, sf), 20)
+def hybrid_diverse(spark, sf, questions=_queries):
+    ranked = ranking.top_k(_hybrid(spark, sf, questions), 20)
     listed = ranked.select("doc_id").distinct()
     tokens = ranking.postings(_documents(spark, sf).join(listed, "doc_id", "left_semi"))
     diverse = ranking.diversified(ranked, tokens)
@@ -79,9 +79,9 @@ def hybrid_diverse(spark, sf):
     return again.select("qid", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("diverse_score", 6).alias("score"))
 
 
-def pairwise_tournament(spark, sf):
+def pairwise_tournament(spark, sf, questions=_queries):
     """The ten best by BM25 meet in pairs; the longer document with at least the same score at two places wins."""
-    ranked = ranking.top_k(ranking.bm25(_documents(spark, sf), _queries(spark, sf)), 10)
+    ranked = ranking.top_k(ranking.bm25(_documents(spark, sf), questions(spark, sf)), 10)
     sized = ranked.join(_documents(spark, sf).select("doc_id", F.length("text").alias("size")), "doc_id")
     better = F.signum(F.round(F.col("a_score"), 2) - F.round(F.col("b_score"), 2)) * 2 + F.signum(F.col("a_size") - F.col("b_size"))
     won = ranking.tournament(sized.select("qid", "doc_id", "rank", "score", "size"), F.signum(better))
@@ -94,10 +94,10 @@ def similarity_rerank(spark, sf):
     return ranking.top_k(scored, 10).select("qid", "doc_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
-def rerank_method_choice(spark, sf):
+def rerank_method_choice(spark, sf, questions=_queries):
     """How many candidates a query has decides how they are reranked."""
-    n = ranking.matches(_documents(spark, sf), _queries(spark, sf)).groupBy("qid").agg(F.countDistinct("doc_id").alias("candidates"))
-    asked = _queries(spark, sf).join(n, "qid", "left").select("qid", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.size(ranking.words(F.col("text"))).alias("terms"))
+    n = ranking.matches(_documents(spark, sf), questions(spark, sf)).groupBy("qid").agg(F.countDistinct("doc_id").alias("candidates"))
+    asked = questions(spark, sf).join(n, "qid", "left").select("qid", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.size(ranking.words(F.col("text"))).alias("terms"))
     complex_query = F.col("terms") > 3
     method = (
         F.when(F.col("candidates") <= 5, F.when(complex_query, "pairwise").otherwise("bm25"))
@@ -117,9 +117,9 @@ def score_parse(spark, sf):
     return replies.select("conv_id", "turn", F.round(ranking.parsed_score(F.col("text")), 6).alias("score"), ranking.parsed_winner(F.col("text")).alias("winner"))
 
 
-def rerank_cache_key(spark, sf):
+def rerank_cache_key(spark, sf, questions=_queries):
     """One key for a query and its five best documents, whatever their order."""
-    ranked = ranking.top_k(ranking.bm25(_documents(spark, sf), _queries(spark, sf)), 5)
+    ranked = ranking.top_k(ranking.bm25(_documents(spark, sf), questions(spark, sf)), 5)
     listed = ranked.groupBy("qid").agg(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))).alias("ids"))
     return listed.select("qid", F.md5(F.concat_ws("|", F.col("qid").cast("string"), F.concat_ws(",", "ids"), F.lit("bm25"))).alias("key"))
 

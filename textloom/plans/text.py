@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from textloom.functions import text as fx
 from textloom.functions.once import computed_once
 from textloom.operators import chunking, knn, text
-from textloom.plans import sql
+from textloom.plans import search, sql
 from textloom.session import spread
 from textloom.sources.tables import table
 
@@ -128,12 +128,11 @@ def chunk_fetch(spark, sf):
     return chunks.join(wanted, "document_id", "left_semi").select("document_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_id", F.col("chars").cast("bigint").alias("chars"))
 
 
-def hash_embed_search(spark, sf):
+def hash_embed_search(spark, sf, questions=search._queries):
     """Titles of every fiftieth document against all documents, by hashed word vectors."""
     docs = _docs(spark, sf)
-    titles = table(spark, sf, "documents").where("doc_id % 50 = 0 and title is not null").groupBy(F.col("title").alias("text")).agg(F.min("doc_id").alias("qid"))
     rows = text.hash_vectors(docs.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    found = knn.knn(rows, text.hash_vectors(titles, "qid"), 5)
+    found = knn.knn(rows, text.hash_vectors(questions(spark, sf), "qid"), 5)
     return found.select("qid", F.col("vec_id").alias("doc_id"), F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 

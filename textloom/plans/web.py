@@ -51,13 +51,17 @@ def page_links(spark, sf):
     return links.groupBy("web_id").agg(F.count("*").alias("links"), F.sum((web.site(F.col("link")) == F.col("site")).cast("int")).alias("own"))
 
 
-def page_rerank(spark, sf):
+def _titles(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "web_content").where("web_id % 50 = 0 and title is not null")
+    return pages.groupBy(F.col("title").alias("text")).agg(F.min("web_id").alias("qid"))
+
+
+def page_rerank(spark, sf, questions=_titles):
     """Pages by BM25 of title and summary, or the start of content, against the titles of every fiftieth page."""
     pages = table(spark, sf, "web_content").select("web_id", "title", "summary", "content")
     text = F.concat_ws(" ", "title", F.coalesce(F.nullif("summary", F.lit("")), F.substring("content", 1, 1000)))
     docs = pages.select(F.col("web_id").alias("doc_id"), text.alias("text"))
-    asked = pages.where("web_id % 50 = 0 and title is not null").groupBy(F.col("title").alias("text")).agg(F.min("web_id").alias("qid"))
-    ranked = ranking.top_k(ranking.bm25(docs, asked), 5)
+    ranked = ranking.top_k(ranking.bm25(docs, questions(spark, sf)), 5)
     return ranked.select("qid", F.col("doc_id").alias("web_id"), F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
