@@ -1,6 +1,6 @@
 import pytest
 
-from textloom.llm.code_pairs import code_description_pairs, pair_of, says_something, strip_markers
+from textloom.llm.code_pairs import code_description_pairs, pair_of, ranged_pair_of, says_something, strip_markers
 
 NOTHING = [
     None, "", "  ", "TODO", "TODO: write docs", "FIXME later", "XXX", "WIP", "n/a", "...", "???", "-", "-----", "See above.", "{@inheritDoc}", "noqa", "eslint-disable-next-line no-console",
@@ -29,6 +29,31 @@ def test_python_docstring_is_cut_out():
     assert where == "docstring" and description.startswith("Read a page") and '"""' not in code and "inner note" in code
 
 
+DOC = '"""Reads ä page from the störe."""'
+
+
+@pytest.mark.parametrize(
+    "source, code",
+    [
+        (f"def load(x): {DOC}", "def load(x):"), (f"def load(x): {DOC}; return x\n", "def load(x): return x"),
+        (f"    def load(x, é='é'):\n        {DOC}; return x\n", "def load(x, é='é'):\n    return x"),
+        (f"def load(x):\n    {DOC}  # note\n    return x\n", "def load(x):\n    # note\n    return x"),
+        (f"\n# Old.\n\n    @cached\n    def load(x):\n\n        {DOC}\n\n        return x\n", None), (f"def load(x):\n    {DOC}\n    return (x +", None),
+    ],
+)
+def test_docstring_is_cut_by_its_exact_range(source, code):
+    pair = ranged_pair_of(source, None, "load", "python", None)
+    assert source[pair[3] : pair[4]] == DOC and pair[0] == code if code else source[pair[3] : pair[4]] == DOC
+    assert source[pair[5] : pair[6]].lstrip().startswith(("def", "@cached")) and pair[6] == len(source.rstrip("\n"))
+
+
+def test_ranges_of_comment_and_field():
+    source = "// Reads a page from the store.\nint load() { return 1; }\n"
+    pair = ranged_pair_of(source, None, "load", "java", None)
+    assert source[pair[3] : pair[4]].strip() == "// Reads a page from the store." and source[pair[5] : pair[6]] == "int load() { return 1; }"
+    assert ranged_pair_of(None, "Reads a page from the store.", "load", "java", None)[3:] == (None,) * 4
+
+
 def test_inner_comments_are_no_documentation():
     assert pair_of("def load(x):\n    # Reads the page from the store.\n    return x\n", None, "load", "python", None) is None
 

@@ -1,9 +1,10 @@
 """Functions paired with their documentation.
 
-Each element's source is parsed: Python into its abstract syntax tree, the brace
-languages by a scanner that knows comments and string literals.  The documentation
-attached to the declaration (leading comment, or docstring of the body) and its
-exact source range are taken, and pairs whose documentation says nothing go.
+Each element's source is parsed: Python into its abstract syntax tree; of the brace
+languages, and of Python that does not parse, regular expressions take the leading
+comments.  The documentation attached to the declaration (leading comment, or
+docstring of the body) and its exact source range are taken, and pairs whose
+documentation says nothing go.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 _PAIR = T.StructType(
     [T.StructField("code", T.StringType()), T.StructField("description", T.StringType()), T.StructField("found_in", T.StringType())]
+    + [T.StructField(c, T.IntegerType()) for c in ("doc_start", "doc_end", "code_start", "code_end")]
 )
 
 PLACEHOLDERS = frozenset(
@@ -146,13 +148,14 @@ _PY_HEAD = re.compile(r"\s*(?:@[^\n]*\n\s*)*(?:async\s+)?(?:def|class)\b[^\n]*?(
 _PY_DOC = re.compile(r"\s*[rRbBuU]{0,2}(\"\"\"|''')(.*?)(?:\1|\Z)|\s*(\"[^\"\n]*\"|'[^'\n]*')[ \t]*(?:\n|\Z)", re.S)
 
 
-def _leading_comment(source: str, hash_comments: bool) -> tuple[str | None, str]:
-    """The comment that stands right above a declaration, and the source without it."""
-    doc, at, decorated = None, 0, ""
+def _leading_comment(source: str, hash_comments: bool) -> tuple[str | None, str, tuple[int, int, int]]:
+    """The comment right above a declaration, the source without it, and offsets: the comment's start and end, the code's start."""
+    doc, at, decorated, start, end, code = None, 0, "", 0, 0, None
     while True:
         deco = _DECORATORS.match(source, at)
         if deco:
             decorated += deco.group()
+            code = at if code is None else code
             at = deco.end()
             continue
         match = _LEADING.match(source, at)
@@ -161,29 +164,61 @@ def _leading_comment(source: str, hash_comments: bool) -> tuple[str | None, str]
         text = match.group(1) or match.group(2) or match.group(3)
         at = match.end()
         # a block above a blank line does not belong to the declaration if another one follows
-        doc = text if doc is None or re.match(r"[ \t]*\n[ \t]*\n", source[at : at + 80]) else doc + "\n" + text
-    return doc, decorated + source[at:].lstrip("\n")
+        alone = doc is None or re.match(r"[ \t]*\n[ \t]*\n", source[at : at + 80])
+        doc, start, end = (text, match.start(match.lastindex), at) if alone else (doc + "\n" + text, start, at)
+    rest = source[at:].lstrip("\n")
+    return doc, decorated + rest, (start, end, len(source) - len(rest) if code is None else code)
 
 
-def _python_doc(source: str) -> tuple[str | None, str]:
-    """Docstring of the element and the source without it; a cut source is scanned instead of parsed."""
+_LINE_END = re.compile(r"\r\n?|\n")
+
+
+def _cut(text: str, start: int, end: int) -> str:
+    """The text without a docstring: its whole lines where it has them to itself, else only it and a semicolon behind it."""
+    before, after = text[:start], text[end:]
+    after = after[re.match(r"[ \t]*(?:;[ \t]*)?", after).end() :]
+    line = before[before.rfind("\n") + 1 :]
+    closed = not after or after[0] in "\r\n"
+    if closed and not line.strip():
+        return before[: len(before) - len(line)] + _LINE_END.sub("", after, count=1) if after else before[: len(before) - len(line)]
+    return (before.rstrip(" \t") if closed else before) + after
+
+
+def _python_doc(source: str) -> tuple[str | None, str, tuple[int, int]]:
+    """Docstring of the element, the source without it, and its start and end counted back from the end of the source.
+
+    A cut source is scanned instead of parsed.
+    """
     flat = textwrap.dedent(source)
+    given, starts = source.split("\n"), [0, *(m.end() for m in _LINE_END.finditer(flat))]
+
+    def back(at: int) -> int:
+        # dedent keeps the number of lines and shortens only their starts
+        left = flat.count("\n", at)
+        return len(flat[at:].split("\n", 1)[0]) + sum(len(line) + 1 for line in given[len(given) - left :])
+
     try:
         node = ast.parse(flat).body[0]
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and node.body:
             first = node.body[0]
             if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
-                lines = flat.split("\n")
-                rest = lines[: first.lineno - 1] + lines[first.end_lineno :]
-                return first.value.value, "\n".join(rest)
-            return None, flat
+
+                def offset(line: int, column: int) -> int:
+                    at = starts[line - 1]
+                    return at + len(flat[at : at + column].encode()[:column].decode())
+
+                start, end = offset(first.lineno, first.col_offset), offset(first.end_lineno, first.end_col_offset)
+                return first.value.value, _cut(flat, start, end), (back(start), back(end))
+            return None, flat, (0, 0)
     except (SyntaxError, ValueError, IndexError, RecursionError, MemoryError):
         pass
     head = _PY_HEAD.match(flat)
     doc = head and _PY_DOC.match(flat, head.end())
     if doc:
-        return doc.group(2) if doc.group(1) else doc.group(3).strip("\"'"), flat[: doc.start()].rstrip("\n") + "\n" + flat[doc.end() :].lstrip("\n")
-    return None, flat
+        text = doc.group(2) if doc.group(1) else doc.group(3).strip("\"'")
+        start = doc.start() + len(doc.group()) - len(doc.group().lstrip())
+        return text, flat[: doc.start()].rstrip("\n") + "\n" + flat[doc.end() :].lstrip("\n"), (back(start), back(doc.start() + len(doc.group().rstrip())))
+    return None, flat, (0, 0)
 
 
 @lru_cache(maxsize=256)
@@ -193,28 +228,42 @@ def _language(label: str | None) -> str:
 
 def pair_of(content: str | None, docstring: str | None, name: str | None, language: str | None, params) -> tuple[str, str, str] | None:
     """(code, description, where it was found), or None if no documentation says anything."""
+    pair = ranged_pair_of(content, docstring, name, language, params)
+    return pair and pair[:3]
+
+
+def ranged_pair_of(content: str | None, docstring: str | None, name: str | None, language: str | None, params) -> tuple | None:
+    """The pair with the start and end of documentation and of code, as characters of the content.
+
+    The code reaches from its first decorator or declaration to the last line and
+    may hold the documentation; a documentation field has no range, nor has code
+    that is not there.
+    """
     source = content or ""
     python = _language(language) == "python" or (_language(language) not in {"javascript", "java", "go"} and bool(_PY_HEAD.match(_leading_comment(source, True)[1])))
-    above, rest = _leading_comment(source, python)
-    inner = None
+    above, rest, (start, end, code) = _leading_comment(source, python)
+    inner, back = None, (0, 0)
     if python:
-        inner, rest = _python_doc(rest)
+        inner, rest, back = _python_doc(rest)
     given = tuple(p for p in (params if params is not None else ()) if p)
-    for where, doc in (("docstring", inner), ("comment", above), ("field", docstring)):
+    size = len(source)
+    whole = (code, max(code, len(source.rstrip("\n")))) if source else (None, None)
+    for where, doc, at in (("docstring", inner, (size - back[0], size - back[1])), ("comment", above, (start, end)), ("field", docstring, (None, None))):
         if doc is not None and says_something(doc, name, given):
-            return rest.strip("\n"), strip_markers(doc), where
+            return rest.strip("\n"), strip_markers(doc), where, *at, *whole
     return None
 
 
 @F.pandas_udf(_PAIR)
 def _pairs(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     for columns in parts:
-        rows = [pair_of(*row) or (None, None, None) for row in zip(*columns)]
-        yield pd.DataFrame(rows, columns=["code", "description", "found_in"])
+        rows = [ranged_pair_of(*row) or (None,) * 7 for row in zip(*columns)]
+        found = pd.DataFrame(rows, columns=_PAIR.names)
+        yield found.astype(dict.fromkeys(_PAIR.names[3:], "Int32"))
 
 
 def code_description_pairs(elements: DataFrame) -> DataFrame:
-    """One row (element_id, name, language, code, description, found_in) for each documented function or method.
+    """One row (element_id, name, language, code, description, found_in, doc_start, doc_end, code_start, code_end) for each documented function or method.
 
     Null content leaves the docstring field as the only source; null in both, or a
     text that says nothing, gives no row.  Source that does not parse is scanned.
@@ -226,5 +275,5 @@ def code_description_pairs(elements: DataFrame) -> DataFrame:
         .where(F.col("content").isNotNull() | F.col("docstring").isNotNull())
         .select("element_id", "name", "language", pair.alias("pair"))
         .where("pair.description is not null")
-        .select("element_id", "name", "language", "pair.code", "pair.description", "pair.found_in")
+        .select("element_id", "name", "language", "pair.code", "pair.description", "pair.found_in", "pair.doc_start", "pair.doc_end", "pair.code_start", "pair.code_end")
     )
