@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm.main_body import BAD, GOOD, html_blocks, line_labels, main_body, mark_furniture
+from textloom.llm.main_body import BAD, GOOD, html_blocks, key_of, line_labels, main_body, mark_furniture, text_label
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>x</title><script>var t='<p>no</p>';</script></head><body>
 <nav><ul><li><a href="/">Home</a></li><li><a href="/f">Forum</a></li></ul></nav>
@@ -23,6 +23,28 @@ LINES = [
 CONTENT = "\n".join(line for line, _ in LINES)
 
 
+PROSE = "The planner reads all of the open requests and it stores them for the next run of the queue. "
+NAMES = "Alpha42 Bravo Charlie Delta Echo Foxtrot Golf Hotel India Juliett Kilo Lima Mike November Oscar Papa Quebec "
+
+
+def test_a_long_block_is_judged_as_a_whole():
+    assert text_label(NAMES * 3 + PROSE * 20) == GOOD  # opens with over 300 characters of names
+    assert text_label(PROSE * 4 + NAMES * 40) == 0
+
+
+def test_blocks_with_a_common_opening_have_labels_of_their_own():
+    same = PROSE * 3
+    assert key_of(same + "One.") != key_of(same + "Two.")
+    page = f"<body><article><h1>How the planner works</h1><p>{same}One.</p></article><footer><p>{same}Two.</p></footer></body>"
+    lines = ["How the planner works", f"{same}Two.", f"{same}One."]
+    assert line_labels("\n".join(lines), page, None) == [GOOD, BAD, GOOD]
+
+
+def test_a_block_that_the_html_cuts_off_still_has_its_line():
+    page = f"<body><article><h1>How the planner works</h1><p>{PROSE}</p></article><footer><p>{PROSE * 2}The plan"
+    assert line_labels(f"How the planner works\n{PROSE}\n{PROSE * 2}The planner ends.", page, None) == [GOOD, GOOD, BAD]
+
+
 def test_page_with_html():
     assert line_labels(CONTENT, PAGE, None) == [label for _, label in LINES]
 

@@ -87,22 +87,25 @@ _NO_LETTERS = re.compile(r"[\W\d_]+")
 _SPACE = re.compile(r"\s+")
 
 
+#: The last block of a page may be the cut start of a line if it has this many letters.
+CUT = 90
+
+
 @lru_cache(maxsize=20_000)
 def key_of(text: str) -> str:
-    """The first letters of a text in lower case, or the text itself where it has none."""
-    return _NO_LETTERS.sub("", text[:160].lower())[:90] or _SPACE.sub(" ", text[:200]).strip()
+    """All letters of a text in lower case, or the text itself where it has none."""
+    return _NO_LETTERS.sub("", text.lower()) or _SPACE.sub(" ", text).strip()
 
 
 @lru_cache(maxsize=20_000)
 def text_label(text: str) -> int:
     """First pass on text alone: furniture phrases and menus are bad, long prose is good, the rest stays open."""
-    head = text[:300]
-    low = head.lower()
+    low = text.lower()
     if len(text) < 200:
-        head = _SPACE.sub(" ", head)
+        flat = _SPACE.sub(" ", text)
         low = _SPACE.sub(" ", low)
-    if len(text) < 200 and (_CUE.match(head) or any(part in low for part in _CUE_PARTS) or _MENU_LINE.match(head)):
-        return BAD
+        if _CUE.match(flat) or any(part in low for part in _CUE_PARTS) or _MENU_LINE.match(flat):
+            return BAD
     words = _WORDS.findall(low)
     letters = sum(map(len, words))
     if letters >= LONG and sum(w in _ALL_FUNCTION_WORDS for w in words) >= PROSE * len(words):
@@ -288,12 +291,16 @@ def line_labels(content: str, html: str | None, title: str | None = None) -> lis
     queue: dict[str, deque[int]] = defaultdict(deque)
     for (text, *_), label in zip(blocks, block_labels(blocks)):
         queue[key_of(text)].append(label)
+    last = key_of(blocks[-1][0]) if blocks else ""
     labels: list[int | None] = []
     for line in lines:
         if not line.strip():
             labels.append(OPEN)
             continue
-        found = queue.get(key_of(line))
+        key = key_of(line)
+        found = queue.get(key)
+        if not found and len(last) >= CUT and key.startswith(last):
+            found = queue[last]  # html that is cut off ends within this line
         labels.append((found.popleft() if len(found) > 1 else found[0]) if found else None)
     if None in labels:
         own = text_labels(lines, title)
