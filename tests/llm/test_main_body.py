@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm.main_body import BAD, GOOD, html_blocks, key_of, line_labels, main_body, mark_furniture, text_label
+from textloom.llm import main_body as rules
+from textloom.llm.main_body import BAD, GOOD, OPEN, block_labels, html_blocks, key_of, line_labels, main_body, mark_furniture, nearest, text_label
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>x</title><script>var t='<p>no</p>';</script></head><body>
 <nav><ul><li><a href="/">Home</a></li><li><a href="/f">Forum</a></li></ul></nav>
@@ -91,3 +92,44 @@ def test_operator_edges(spark):
     bodies = {r.web_id: r.body for r in main_body(df).collect()}
     assert bodies[1] is None and bodies[3].startswith("How the planner works") and "Terms" not in bodies[3]
     assert mark_furniture(df.limit(0)).count() == 0 and main_body(df).where(F.col("web_id") == 3).count() == 2
+
+
+SHORT_BODY = "The planner reads all of the open requests before the next batch of the queue."
+TAGS = " ".join(f"Tag{i}" for i in range(200))
+TEASERS = "".join(f"<p><a href=/{i}>Why the planner keeps all of the requests for the next run {i}</a></p>" for i in range(20))
+
+
+def _labels(inside):
+    blocks = html_blocks(f"<body>{inside}</body>")
+    return {text[:20]: label for (text, *_), label in zip(blocks, block_labels(blocks))}
+
+
+def test_stop_word_density_decides(monkeypatch):
+    page = f"<div class=a><p>{SHORT_BODY}</p><p>Short</p></div><div class=b><p>{TAGS}</p></div>"
+    assert _labels(page) == {SHORT_BODY[:20]: GOOD, "Short": GOOD, TAGS[:20]: BAD}
+    monkeypatch.setattr(rules, "density", lambda text: 1.0)
+    assert _labels(page) == {SHORT_BODY[:20]: BAD, "Short": BAD, TAGS[:20]: GOOD}
+
+
+def test_link_density_decides(monkeypatch):
+    page = f"<div class=a><p>{SHORT_BODY}</p><p><a href=/>More</a></p></div><div class=b>{TEASERS}</div>"
+    assert _labels(page) == {SHORT_BODY[:20]: GOOD, "More": BAD, "Why the planner keep": BAD}
+    unlinked = page.replace("<a href=/>", "").replace("</a>", "")
+    for i in range(20):
+        unlinked = unlinked.replace(f"<a href=/{i}>", "")
+    assert _labels(unlinked) == {SHORT_BODY[:20]: BAD, "More": BAD, "Why the planner keep": GOOD}
+
+
+def test_length_decides():
+    page = f"<div class=a><p>{SHORT_BODY * 3}</p><p>{SHORT_BODY * 3}</p></div><div class=b><p>{SHORT_BODY}</p></div>"
+    assert _labels(page) == {SHORT_BODY[:20]: BAD} and block_labels(html_blocks(page)) == [GOOD, GOOD, BAD]
+
+
+def test_open_blocks_take_the_nearest_decided_label():
+    assert nearest([GOOD, OPEN, OPEN, OPEN, BAD]) == [GOOD, GOOD, GOOD, BAD, BAD]
+    assert nearest([OPEN, BAD, OPEN]) == [BAD, BAD, BAD] and nearest([OPEN, OPEN]) == [GOOD, GOOD] and nearest([]) == []
+
+
+def test_a_page_without_a_headline_still_has_a_body():
+    page = PAGE.replace("<h1>How the planner works</h1>", "<p>How the planner works</p>")
+    assert line_labels(CONTENT, page, None) == [label for _, label in LINES]

@@ -1,10 +1,19 @@
 """Main body of a page: tell its own text from menus, notices, bylines, comments and footers.
 
-Method: two passes of block rules.  The first decides blocks by stop-word density,
-length, link density and the container they stand in; the second gives the short
-blocks that stayed ambiguous the label of their nearest decided neighbours.  Lines
-of ``content`` take the label of the html block with the same text, in order; rows
-without html, and lines the html was cut before, are judged by text alone.
+Method: two passes of block rules over stop-word density, length and link density,
+each measured on whole blocks.
+
+First pass.  A section is the blocks that share a container.  Its prose mass is the
+letters of its blocks, each weighted by stop-word density and by the share outside
+links; the headline weighs its section up by ``HEADLINE``.  The heaviest section is
+the body, blocks of lighter ones are bad.  Within the body a long block of high
+density is good, a short one inside links is bad unless it is a list item, and the
+rest stays open: headings, captions, code, list items.  Second pass.  An open block takes the label of the
+nearest decided block of the body, a tie is good.
+
+Lines of ``content`` take the label of the html block with the same text, in order.
+Rows without html, and lines the html was cut before, are judged by density, length
+and words that announce furniture, and open lines again by their nearest neighbours.
 """
 
 from __future__ import annotations
@@ -12,7 +21,6 @@ from __future__ import annotations
 import re
 from collections import defaultdict, deque
 from collections.abc import Iterator
-from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -21,10 +29,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from textloom.llm.words import FUNCTION_WORDS
 
 GOOD, BAD, OPEN = 1, -1, 0
-#: A block is long from this many letters on, and prose from this share of function words on.
-LONG, PROSE = 60, 0.2
-#: More than this share of letters inside links or buttons makes a block navigation.
+#: A block is long from this many characters on, and dense from this share of function words on.
+LONG, DENSE = 60, 0.2
+#: More than this share of characters inside links or buttons makes a block linked.
 LINKED = 0.5
+#: The section of the headline counts this many times its prose mass.
+HEADLINE = 3.0
 
 _ALL_FUNCTION_WORDS = frozenset().union(*FUNCTION_WORDS.values())
 _DROPPED = re.compile(r"<head\b.*?</head\s*>|<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg)\b.*?(?:</(?P=raw)\s*>|\Z)", re.S | re.I)
@@ -33,97 +43,77 @@ _WRAPPING = frozenset("b i em strong u small big font".split())
 _TEXT_BLOCKS = frozenset("p li h1 h2 h3 h4 h5 h6 pre blockquote figcaption dt dd caption button".split())
 _VOID = frozenset("img br hr input meta link wbr area base col embed source track".split())
 _CLEAR = frozenset("ul ol dl figure".split())
-#: Names of containers (tag, class, id, role) that hold furniture.
-_FURNITURE_NAME = re.compile(
-    r"nav|menu|foot|aside|cookie|consent|cc-|gdpr|banner|share|social|tools|comment|repl(?:y|ies)|disc|thread|teaser|related|widget|side|newsletter|subscrib|signup|legal|disclaim|copyright"
-    r"|\bbio\b|author|byline|\bmeta\b|\bsub\b|\bad\b|advert|sponsor|promo|complementary|contentinfo|dialog|breadcrumb|pager|skip|top\b|position:fixed|form",
+#: An element with a name of its own is a container, whatever its tag.
+_NAMED = re.compile(r"\b(?:class|id|role|aria-label|style)\s*=\s*[\"']?[^\"'>]", re.I)
+
+
+# fixed values: words of the six languages that announce furniture, at the start of a line
+_START = re.compile(
+    r"[\s\-•*»«|]*(?:©|\(c\)|copyright\b"
+    r"|(?:written |posted |published )?by (?-i:[A-ZÀ-Þ])|(?:verfasst |geschrieben )?von (?-i:[A-ZÀ-Þ])|(?:rédigé |écrit )?par (?-i:[A-ZÀ-Þ])|(?:escrito )?por (?-i:[A-ZÀ-Þ])|(?:geschreven )?door (?-i:[A-ZÀ-Þ])"
+    r"|text[oe]? (?:de|von|door) (?-i:[A-ZÀ-Þ])|(?:text[oe]?|tekst|autor|auteur|author) ?:"
+    r"|(?:last )?updated\b|last modified|published|posted on|stand:|aktualisiert|zuletzt|veröffentlicht|mis à jour|publié|dernière mise|actualizado|publicado|última|atualizado|bijgewerkt|laatst|gepubliceerd"
+    r"|reading time|lesezeit|lesedauer|temps de lecture|tiempo de lectura|tempo de leitura|leestijd|\d+ min(?:utes?)? read"
+    r"|(?:views?|visits?|aufrufe|vues|visitas|visualizações|leituras|weergaven|gelezen) ?:"
+    r"|share\b|send (?:by|this)|print\b|copy link|(?:diesen|diese) .{1,20} teilen|teilen\b|drucken|link kopieren|partager|imprimer|copier|envoyer par|compart|imprimir|copiar|enviar por|partilh|delen\b|deel (?:dit|deze)|afdrukken|kopieer"
+    r"|skip to|back to top|zum inhalt|nach oben|aller au|haut de page|saltar|volver|ir para|voltar|naar (?:de )?inhoud|naar boven|terug naar"
+    r"|\d+ (?:comments?|kommentare?|commentaires?|comentarios?|comentários?|reacties?)\b|tell a friend|did you like|hat ihnen|cette page|¿te gustó|gostou|vond u"
+    r"|(?:enter|type) your|ihre .{1,30} eingeben|indiquez|votre adresse|escribe tu|indique o|escreva o|vul uw|get our|subscribe|sign up|unsubscribe|newsletter|abmeld|anmeld|désinscri|suscr|subscre|uitschrijv|afmeld|inschrijv|aanmeld"
+    r"|advertisement|anzeige\b|werbung|publicité|publicidad|advertentie|sponsored|gesponsert)",
     re.I,
 )
-_ATTR = re.compile(r"\b(?:class|id|role|aria-label|style)\s*=\s*[\"']?([^\"'>]*)", re.I)
-
-_CUE_WORDS = {
-    # fixed values: furniture phrases of the six languages
-    "start": (
-        r"(?:©|\(c\)|copyright\b)|texte? de (?-i:[A-ZÀ-Þ])|(?:written |posted |published )?by (?-i:[A-ZÀ-Þ])|(?:verfasst von|geschrieben von|von|par|rédigé par|écrit par|por|escrito por|texto de|texto:|text:|texte :|door|geschreven door|tekst:|autor:|author:)\s(?-i:[A-ZÀ-Þ])"
-        r"|(?:last )?updated\b|last (?:modified|changed)|published (?:on|at)?|posted on|stand:|aktualisiert|zuletzt (?:geändert|aktualisiert)|veröffentlicht|mis à jour|publié|dernière mise|actualizado|publicado|última|atualizado|bijgewerkt|laatst gewijzigd|gepubliceerd"
-        r"|reading time|lesezeit|lesedauer|temps de lecture|tiempo de lectura|tempo de leitura|leestijd|\d+ min(?:utes?)? read"
-        r"|views?\s*:|aufrufe\s*:|vues\s*:|visitas\s*:|visualizações\s*:|leituras\s*:|weergaven\s*:|gelezen\s*:|visits?\s*:"
-        r"|share\b|send (?:by|this)|print\b|copy link|tell a friend|did you like|diesen (?:beitrag|artikel) teilen|teilen\b|drucken|link kopieren|per post senden|hat ihnen die seite|partager|imprimer|copier le lien|envoyer par|cette page vous a plu"
-        r"|comparte|compartir|imprimir|copiar enlace|enviar por|¿te gustó|partilh|compartilh|copiar (?:ligação|link)|gostou|delen\b|deel (?:dit|deze)|afdrukken|kopieer|vond u|versturen|verstuur"
-        r"|skip to|back to top|zum inhalt|nach oben|aller au contenu|haut de page|saltar al|volver arriba|saltar para|ir para|voltar ao|naar (?:de )?inhoud|naar boven|terug naar"
-        r"|you may also|most read|related|more from|read next|das könnte sie|meistgelesen|verwandte|mehr zum|à lire aussi|les plus lus|pages voisines|también te puede|lo más leído|páginas relacionadas|artículos relacionados|também (?:pode|poderá)|mais lid|relacionad|meest gelezen|lees ook|misschien|verwante|gerelateerd"
-        r"|get our|enter your|subscribe|sign up|no noise|unsubscribe|newsletter|unser rundbrief|ihre adresse|abmeldung|anmelden\b|newsletter|notre lettre|indiquez|désinscription|votre adresse|nuestra carta|escribe tu|puedes darte|suscr|a nossa carta|indique|escreva o|pode sair|cancelar|onze brief|onze nieuwsbrief|vul uw|uitschrijven|afmelden"
-        r"|made with care|all rights reserved|mit sorgfalt|réalisé avec|hecho con|feito com|met zorg|gemaakt met"
-        r"|advertisement|anzeige\b|werbung|publicité|publicidad|publicidade|advertentie|sponsored|gesponsert"
-        r"|\d+ (?:comments?|kommentare?|commentaires?|comentarios?|comentários?|reacties|reactie)\b|comments?\b|kommentare\b|commentaires\b|comentarios\b|comentários\b|reacties\b"
-    ),
-    "whole": (
-        r"privacy(?: notice| policy)?|terms of use|accessibility(?: statement)?|imprint|home|guides|reference|downloads|forum|pricing|team|sign in|contact us|release notes|about(?: us)?|blog|help|search|news|login|log in|register"
-        r"|only necessary|accept all|manage preferences|reject all|settings|ok|close"
-        r"|datenschutz|nutzungsbedingungen|impressum|barrierefreiheit|startseite|anleitungen|nachschlagen|herunterladen|diskussion|preise|über uns|kontakt|anmelden|neuigkeiten|nur notwendige|alle annehmen|einstellungen verwalten|suche|hilfe"
-        r"|vie privée|mentions légales|accessibilité|conditions d['’]utilisation|accueil|référence|téléchargements|tarifs|équipe|connexion|nous écrire|nouveautés|tout accepter|gérer mes choix|seulement les nécessaires"
-        r"|privacidad|aviso legal|accesibilidad|condiciones de uso|inicio|guías|referencia|descargas|foro|precios|equipo|entrar|escríbenos|novedades|aceptar todo|gestionar opciones|solo las necesarias"
-        r"|privacidade|aviso legal|acessibilidade|condições de (?:uso|utilização)|termos de (?:uso|utilização)|início|guias|referência|transferências|fórum|preços|equipa|equipe|contacto|contato|novidades|aceitar (?:tudo|todos)|gerir opções|(?:só|apenas) (?:os|as) necessári[oa]s"
-        r"|privacy(?:verklaring)?|gebruiksvoorwaarden|toegankelijkheid|colofon|start|handleidingen|naslag|downloaden|prijzen|ons team|over ons|inloggen|aanmelden|contact|nieuws|nieuw|alles (?:accepteren|aanvaarden)|alleen (?:noodzakelijke|nodige)|(?:voorkeuren|keuzes|instellingen) beheren"
-    ),
-}
-#: Parts of notices, in lower case.
-_CUE_PARTS = (
-    "cookie", "kleine dateien", "small files on your device", "petits fichiers sur votre", "pequeños ficheros en tu", "pequenos ficheiros no", "kleine bestanden op uw",
-    "alle rechte vorbehalten", "all rights reserved", "tous droits réservés", "todos los derechos", "todos os direitos", "alle rechten",
-    "without any warranty", "ohne gewähr", "sans garantie", "sin garantía", "sem garantia", "zonder garantie", "zonder enige garantie", "written consent", "schriftlicher zustimmung",
-    "accord écrit", "permiso escrito", "autorização escrita", "consentimento escrito", "schriftelijke toestemming", "opinions are", "geben die meinung", "avis exprimés",
-    "las opiniones son", "as opiniões", "de meningen", "no part of this text", "toute reproduction", "prohibida la reproducción", "nachdruck, auch", "proibida a reprodução", "nenhuma parte",
-    "niets uit deze", "lives by the sea", "live by the sea", "wohnt am meer", "vit au bord", "vive junto al", "vive junto ao", "vive à beira", "woont aan zee", ", staff writer",
-    ", redacción", ", redação", ", redaktion", ", rédaction", ", de la rédaction", "van de redactie", "da redação", ", redactie",
-)
-_CUE = re.compile(rf"^[\s\-•*»«|]*(?:(?:{_CUE_WORDS['start']})|(?:{_CUE_WORDS['whole']})[\s!»…:.]*$)", re.I)
-_AD_LABEL = re.compile(r"^[\s\-]*(?:advertisement|anzeige|werbung|publicité|publicidad|publicidade|advertentie|sponsored)\b[\s!»…:.]*$", re.I)
-_MENU_LINE = re.compile(r"^[^.!?;:]{2,40}(?:\s[·•|/]\s[^.!?;:]{2,40}){2,}[!…»\s]*$")
-_COMMENTS = re.compile(r"^[\s\-]*\d+\s+(?:comments?|kommentare?|commentaires?|comentarios?|comentários?|reacties|reactie)\b", re.I)
-_TEASERS = re.compile(r"^[\s\-]*(?:you\s+may|most read|related pages|das\s+könnte|meistgelesen|verwandte|à lire|les plus lus|pages voisines|también\s+te|lo más|páginas rel|também|mais lid|meest gelezen|lees ook|misschien|verwante|gerelateerd)", re.I)
-_WORDS = re.compile(r"[^\W\d_]+")
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+# fixed values: whole lines of menus, footers and dialogues
+_WHOLE = re.compile(
+    r"[\s\-•*»«|]*(?:privacy(?: notice| policy|verklaring)?|terms(?: of use)?|accessibility(?: statement)?|imprint|home|guides?|reference|downloads?|forum|pricing|team|sign in|contact(?: us)?|release notes|about(?: us)?|blog|help|search|news|log ?in|register|ok|close|settings"
+    r"|datenschutz|nutzungsbedingungen|impressum|barrierefreiheit|startseite|anleitungen|herunterladen|preise|über uns|kontakt|neuigkeiten|einstellungen|suche|hilfe|diskussion|nachschlagen"
+    r"|vie privée|mentions légales|accessibilité|conditions d['’]utilisation|accueil|guides|référence|téléchargements|tarifs|équipe|connexion|nouveautés|aide|recherche|nous écrire"
+    r"|privacidad|aviso legal|accesibilidad|condiciones de uso|inicio|guías|referencia|descargas|foro|precios|equipo|entrar|novedades|ayuda|buscar|escríbenos"
+    r"|privacidade|acessibilidade|condições de (?:uso|utilização)|termos de (?:uso|utilização)|início|guias|referência|transferências|fórum|preços|equip[ae]|conta[c]?to|ajuda"
+    r"|gebruiksvoorwaarden|toegankelijkheid|colofon|start|handleidingen|naslag|downloaden|prijzen|ons team|over ons|inloggen|nieuws?|zoeken"
+    r"|(?:accept|reject|allow) all|only necessary|manage preferences|(?:alle|alles) (?:annehmen|ablehnen|accepteren|aanvaarden|weigeren)|nur notwendige|einstellungen verwalten|tout (?:accepter|refuser)|gérer mes choix|seulement les nécessaires"
+    r"|aceptar todo|rechazar todo|gestionar opciones|solo las necesarias|aceitar (?:tudo|todos)|gerir opções|(?:só|apenas) (?:os|as) necessári[oa]s|alleen (?:noodzakelijke|nodige)|(?:voorkeuren|keuzes|instellingen) beheren)[\s!»…:.]*$",
+    re.I,
+)
+# fixed values: parts of notices
+_NOTICE = re.compile(
+    r"\b(?:writes|schreibt|écrit|escribe|escreve|schrijft) (?:about|for|at|bei|für|über|sur|pour|chez|sobre|en|em|para|over|bij|voor)\b|, (?:staff writer|(?:de la |van de |da |de )?(?:redaktion|rédaction|redacción|redação|redactie))\W*$"
+    r"|cookie|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos|todos os direitos|alle rechten|warranty|ohne gewähr|sans garantie|sin garantía|sem garantia|zonder (?:enige )?garantie"
+    r"|written (?:consent|permission)|schriftliche\w* (?:zustimmung|genehmigung)|accord écrit|permiso escrito|autorização escrita|consentimento escrito|schriftelijke toestemming"
+    r"|opinions (?:are|expressed)|die meinung|avis exprimés|las opiniones|as opiniões|de meningen|reproduction|reproducción|reprodução|nachdruck",
+    re.I,
+)
+_AD_LABEL = re.compile(r"[\s\-]*(?:advertisement|anzeige|werbung|publicité|publicidade?|advertentie|sponsored)\b[\s!»…:.]*$", re.I)
+_MENU_LINE = re.compile(r"[^.!?;:]{2,40}(?:\s[·•|/]\s[^.!?;:]{2,40}){2,}[!…»\s]*$")
+#: Headings after which a page's own text does not go on: readers' comments, and links to other pages.
+_COMMENTS = re.compile(r"[\s\-]*\d+\s+(?:comments?|kommentare?|commentaires?|comentarios?|comentários?|reacties|reactie)\b", re.I)
+_TEASERS = re.compile(r"[\s\-]*(?:you\s+may|most read|read next|related|das\s+könnte|meistgelesen|verwandte|à lire|les plus lus|pages voisines|también\s+te|lo más|(?:páginas|artículos) rel|também|mais lid|relacionad|meest gelezen|lees ook|misschien|verwante|gerelateerd)", re.I)
 _SPACE = re.compile(r"\s+")
 
-
-#: The last block of a page may be the cut start of a line if it has this many letters.
+#: The last block of a page may be the cut start of a line if it has this many characters.
 CUT = 90
 
 
-@lru_cache(maxsize=20_000)
 def key_of(text: str) -> str:
-    """All letters of a text in lower case, or the text itself where it has none."""
-    return _NO_LETTERS.sub("", text.lower()) or _SPACE.sub(" ", text).strip()
+    """A text without white space, whole."""
+    return "".join(text.split())
 
 
-@lru_cache(maxsize=20_000)
-def text_label(text: str) -> int:
-    """First pass on text alone: furniture phrases and menus are bad, long prose is good, the rest stays open."""
-    low = text.lower()
-    if len(text) < 200:
-        flat = _SPACE.sub(" ", text)
-        low = _SPACE.sub(" ", low)
-        if _CUE.match(flat) or any(part in low for part in _CUE_PARTS) or _MENU_LINE.match(flat):
-            return BAD
-    words = _WORDS.findall(low)
-    letters = sum(map(len, words))
-    if letters >= LONG and sum(w in _ALL_FUNCTION_WORDS for w in words) >= PROSE * len(words):
-        return GOOD
-    return OPEN
+def density(text: str) -> float:
+    """Share of the words of a text that are function words of any language."""
+    words = text.lower().split()
+    return sum(map(_ALL_FUNCTION_WORDS.__contains__, words)) / len(words) if words else 0.0
 
 
-class _Node:
-    __slots__ = ("bad", "name", "parent", "parts", "wrapped")
+class _Section:
+    __slots__ = ("name", "parent", "parts", "wrapped")
 
-    def __init__(self, name: str, parent, bad: bool):
-        self.name, self.parent, self.bad, self.parts, self.wrapped = name, parent, bad, 0, False
+    def __init__(self, name: str, parent):
+        self.name, self.parent, self.parts, self.wrapped = name, parent, 0, False
 
 
-def html_blocks(html: str) -> list[tuple[str, str, _Node, float]]:
-    """(text, tag, container, share of letters in links) of each block of a page, however badly it is nested."""
-    root = _Node("body", None, False)
-    stack, blocks = [root], []
+def html_blocks(html: str) -> list[tuple[str, str, _Section, float]]:
+    """(text, tag, section, share of characters in links) of each block of a page, however badly it is nested."""
+    stack, blocks = [_Section("body", None)], []
     parts: list[str] = []
     tag, linked, depth = "", 0, 0
 
@@ -132,7 +122,7 @@ def html_blocks(html: str) -> list[tuple[str, str, _Node, float]]:
         if parts:
             text = unescape("".join(parts)).strip()
             if text:
-                blocks.append((text, tag, stack[-1], linked / max(1, len(text))))
+                blocks.append((text, tag, stack[-1], min(1.0, linked / len(text))))
                 stack[-1].parts += 1
         parts, linked = [], 0
 
@@ -150,7 +140,7 @@ def html_blocks(html: str) -> list[tuple[str, str, _Node, float]]:
             flush()
         if name in _VOID:
             return
-        named = " ".join(_ATTR.findall(attrs)) if attrs else ""
+        named = bool(attrs) and _NAMED.search(attrs) is not None
         if name in _TEXT_BLOCKS and not (name == "p" and named):
             if ends:
                 tag = ""
@@ -175,8 +165,7 @@ def html_blocks(html: str) -> list[tuple[str, str, _Node, float]]:
                 stack.pop()
             if name in _CLEAR and not named:
                 return
-            node = _Node(name, stack[-1], bool(named and _FURNITURE_NAME.search(named)) or name in ("nav", "aside", "footer", "form"))
-            stack.append(node)
+            stack.append(_Section(name, stack[-1]))
         else:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == name:
@@ -200,85 +189,85 @@ def html_blocks(html: str) -> list[tuple[str, str, _Node, float]]:
     return blocks
 
 
-def _furniture(node: _Node | None) -> bool:
-    while node is not None:
-        if node.bad:
-            return True
-        node = node.parent
-    return False
-
-
-def block_labels(blocks: list[tuple[str, str, _Node, float]]) -> list[int]:
-    """First pass over html blocks, then neighbours for those left open."""
-    home = next((node for _, tag, node, _ in blocks if tag == "h1"), None)
-    if home is None or not any(node is home and linked <= LINKED and text_label(text) == GOOD for text, _, node, linked in blocks):
-        # no headline, or one apart from the text: the container with most prose outside furniture is home
-        prose: dict[_Node, int] = defaultdict(int)
-        for text, _, node, linked in blocks:
-            if linked <= LINKED and not _furniture(node) and text_label(text) == GOOD:
-                prose[node] += len(text)
-        bare = home is None or not any(node is home and tag != "h1" for _, tag, node, _ in blocks)
-        if prose and bare:
-            home = max(prose, key=prose.get)
+def block_labels(blocks: list[tuple[str, str, _Section, float]]) -> list[int]:
+    """Labels of the blocks of a page after both passes."""
+    dense = [density(text) for text, *_ in blocks]
+    mass: dict[_Section, float] = defaultdict(float)
+    for (text, _, section, linked), share in zip(blocks, dense):
+        mass[section] += len(text) * share * (1 - linked)
+    headline = next((section for _, tag, section, _ in blocks if tag == "h1"), None)
+    if headline is not None:
+        mass[headline] *= HEADLINE
+    body = max(mass, key=mass.get, default=None)
     labels = []
-    for text, tag, node, linked in blocks:
-        if tag == "button" or (linked > LINKED and node is not home):
+    for (text, tag, section, linked), share in zip(blocks, dense):
+        if section is not body and tag != "h1":
             labels.append(BAD)
-        elif linked > LINKED:
-            labels.append(text_label(text))  # an item of the body's own list may be a link as a whole
-        elif node is home:
-            if tag in ("h1", "pre", "blockquote", "figcaption", "li") or text_label(text) == GOOD:
-                labels.append(GOOD)
-            else:
-                labels.append(OPEN)
-        elif tag == "h1":
+        elif len(text) >= LONG and share >= DENSE:
             labels.append(GOOD)
         else:
-            labels.append(BAD)
-    # second pass: within the home container an open block goes with its nearest decided neighbours there
-    inside = [i for i, b in enumerate(blocks) if b[2] is home]
-    for at, i in enumerate(inside):
-        if labels[i] == OPEN:
-            near = [labels[inside[k]] for k in range(at - 1, -1, -1) if labels[inside[k]] != OPEN][:1]
-            near += [labels[inside[k]] for k in range(at + 1, len(inside)) if labels[inside[k]] != OPEN][:1]
-            labels[i] = BAD if near and max(near) == BAD else GOOD
+            # an item of the body's own list may be a link as a whole
+            labels.append(BAD if linked > LINKED and len(text) < LONG and tag != "li" else OPEN)
+    inside = [i for i, (_, tag, section, _) in enumerate(blocks) if section is body or tag == "h1"]
+    for i, label in zip(inside, nearest([labels[i] for i in inside])):
+        labels[i] = label
     return labels
 
 
+def nearest(labels: list[int]) -> list[int]:
+    """Open labels settled by the nearest decided one, good at a tie and where nothing is decided."""
+    before, after = _distances(labels), _distances(labels[::-1])[::-1]
+    settled = []
+    for label, (near, left), (far, right) in zip(labels, before, after):
+        if label == OPEN:
+            label = left if near < far else right if far < near else max(left, right)
+        settled.append(label or GOOD)
+    return settled
+
+
+def _distances(labels: list[int]) -> list[tuple[float, int]]:
+    """For each place the steps back to the last decided label, and that label."""
+    steps, last, out = float("inf"), OPEN, []
+    for label in labels:
+        steps, last = (0, label) if label != OPEN else (steps + 1, last)
+        out.append((steps, last))
+    return out
+
+
+def text_label(line: str) -> int:
+    """First pass on a line alone: lines that announce furniture and menus are bad, long dense ones good, the rest stays open."""
+    flat = _SPACE.sub(" ", line)
+    if len(line) < 200 and (_START.match(flat) or _WHOLE.match(flat) or _NOTICE.search(flat) or _MENU_LINE.match(flat)):
+        return BAD
+    return GOOD if len(line) >= LONG and density(line) >= DENSE else OPEN
+
+
 def text_labels(lines: list[str], title: str | None = None) -> list[int]:
-    """Labels of a page's lines by text alone: the body runs from the headline to the first comments, teasers or footer."""
+    """Labels of a page's lines without html, OPEN for blank ones.
+
+    The body starts at the headline (the title's line, or else the last open line
+    above the first good one) and ends at the first heading of comments or teasers.
+    """
     labels = [text_label(line) if line.strip() else OPEN for line in lines]
-    flat = [_SPACE.sub(" ", line) for line in lines]
     own = key_of(title) if title else ""
     start = next((i for i, line in enumerate(lines) if own and key_of(line) == own), None)
     if start is None:
         start = next((i for i, label in enumerate(labels) if label == GOOD), 0)
-        # the headline is the last open line above the text, with only furniture between
-        above = next((i for i in range(start - 1, -1, -1) if labels[i] == OPEN and lines[i].strip()), None)
-        if above is not None and start - above <= 8:
-            start = above
-    for i in range(start):
-        if labels[i] != GOOD or start - i > 0:
-            labels[i] = BAD
-    if start < len(lines):
-        labels[start] = GOOD
-    closed = False
+        start = next((i for i in range(start - 1, max(-1, start - 9), -1) if labels[i] == OPEN and lines[i].strip()), start)
+    end = len(lines)
     for i in range(start + 1, len(lines)):
-        line = flat[i]
-        if _COMMENTS.match(line) and any(labels[k] == GOOD for k in range(start + 1, i)):
-            closed = True
-        elif _TEASERS.match(line):
-            closed = True
-        if closed or _AD_LABEL.match(flat[i - 1]):
+        flat = _SPACE.sub(" ", lines[i])
+        if _TEASERS.match(flat) or (_COMMENTS.match(flat) and GOOD in labels[start + 1 : i]):
+            end = i
+            break
+        if _AD_LABEL.match(_SPACE.sub(" ", lines[i - 1])):
             labels[i] = BAD
-    settled = list(labels)
-    for i, label in enumerate(labels):
-        if label == OPEN and lines[i].strip():
-            before = next((k for k in range(i - 1, -1, -1) if labels[k] != OPEN), None)
-            after = next((k for k in range(i + 1, len(lines)) if labels[k] != OPEN), None)
-            marks = [(i - before, labels[before])] if before is not None else []
-            marks += [(after - i, labels[after])] if after is not None else []
-            settled[i] = GOOD if any(label == GOOD for _, label in marks) and not (after is None and marks[0][1] == BAD) else BAD
+    labels[:start], labels[end:] = [BAD] * start, [BAD] * (len(lines) - end)
+    labels[start : start + 1] = [GOOD] * len(lines[start : start + 1])
+    told = [i for i, line in enumerate(lines) if line.strip()]
+    settled = [OPEN] * len(lines)
+    for i, label in zip(told, nearest([labels[i] for i in told])):
+        settled[i] = label
     return settled
 
 
@@ -286,18 +275,19 @@ def line_labels(content: str, html: str | None, title: str | None = None) -> lis
     """GOOD or BAD for each line of a page, OPEN for blank ones."""
     lines = content.split("\n")
     if not html:
-        return [label if line.strip() else OPEN for label, line in zip(text_labels(lines, title), lines)]
+        return text_labels(lines, title)
     blocks = html_blocks(html)
     queue: dict[str, deque[int]] = defaultdict(deque)
+    key = ""
     for (text, *_), label in zip(blocks, block_labels(blocks)):
-        queue[key_of(text)].append(label)
-    last = key_of(blocks[-1][0]) if blocks else ""
-    labels: list[int | None] = []
+        key = key_of(text)
+        queue[key].append(label)
+    last, labels = key, []
     for line in lines:
-        if not line.strip():
+        key = key_of(line)
+        if not key:
             labels.append(OPEN)
             continue
-        key = key_of(line)
         found = queue.get(key)
         if not found and len(last) >= CUT and key.startswith(last):
             found = queue[last]  # html that is cut off ends within this line
@@ -308,9 +298,7 @@ def line_labels(content: str, html: str | None, title: str | None = None) -> lis
         # comments and teasers end the body, but a counter of comments may stand in the byline above it
         body = next((i for i in range(seen + 1) if labels[i] == GOOD and text_label(lines[i]) == GOOD), seen)
         ended = any(labels[i] == BAD and (_TEASERS.match(flat) or _COMMENTS.match(flat)) for i in range(body, seen + 1) if (flat := _SPACE.sub(" ", lines[i])))
-        for i, label in enumerate(labels):
-            if label is None:
-                labels[i] = BAD if ended and i > seen else own[i]
+        labels = [(BAD if ended and i > seen else own[i]) if label is None else label for i, label in enumerate(labels)]
     return labels
 
 
