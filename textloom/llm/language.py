@@ -5,9 +5,13 @@ character n-gram and lexicon features score each word for each language, learned
 transitions tie neighbours together, and forward-backward gives every word its
 marginal probabilities.  Letters weighted by them decide lines and documents.
 
-Training: Spark draws a bounded sample of labelled rows (``SAMPLE_PER_LANGUAGE``
-of each language, those whose label agrees with their function words), shards fit
-a model each, and the parameters are averaged.  Applying it covers every row.
+A word is what stands between white space; signs inside part it for its features,
+and what has no letter is no word.
+
+Training: Spark draws a bounded sample of labelled rows (``SAMPLE_PER_LANGUAGE`` of
+each language, the first ``SAMPLE_WORDS`` words of those whose label agrees with at
+least three of their function words), shards fit a model each, and the parameters
+are averaged.  Applying it covers every row and every word.
 """
 
 from __future__ import annotations
@@ -27,15 +31,20 @@ from textloom.llm.main_body import BAD, line_labels
 from textloom.llm.words import FUNCTION_WORDS, LANGUAGES
 
 BUCKETS = 1 << 14
-SAMPLE_PER_LANGUAGE = 500
+#: Bounds of the training sample: rows of each language, and words of each row.
+SAMPLE_PER_LANGUAGE, SAMPLE_WORDS = 500, 400
+#: A training sequence runs through the field in parts of this many words.
+FIT_WORDS = 64
 SHARDS = 4
 STEPS = 30
 #: Fewer letters of natural language than this give no language to a row, and to a line none of its own.
 MIN_LETTERS = 40
 #: A line has a language of its own only if the field is at least this sure of it.
 MIN_SURE = 0.55
-#: A sequence longer than this many words is cut there for the field; its parts keep all their words.
+#: A sequence longer than this many words runs through the field in parts of this many; no word is left out.
 MAX_WORDS = 1500
+#: Words of one block of padded sequences.
+BLOCK_WORDS = 200_000
 
 K = len(LANGUAGES)
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -63,16 +72,19 @@ def label_code(label: Column) -> Column:
 
 
 @lru_cache(maxsize=200_000)
-def _features(word: str) -> tuple[int, ...]:
-    """Buckets of a word in lower case: the word, affixes, n-grams, special letters, and the lexicons it stands in."""
-    flat = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
-    names = [f"w{word}", f"v{flat}"]
-    names += [f"p{flat[:n]}" for n in (1, 2, 3) if len(flat) > n] + [f"s{flat[-n:]}" for n in (1, 2, 3, 4) if len(flat) > n]
-    framed = f"^{flat}$"
-    names += [f"g{framed[i : i + 3]}" for i in range(len(framed) - 2)][:18] + [f"b{framed[i : i + 2]}" for i in range(len(framed) - 1)][:18]
-    names += [f"c{c}" for c in sorted(set(word)) if not c.isascii()]
-    buckets = [K + zlib.crc32(n.encode()) % (BUCKETS - K) for n in names]
-    return (*buckets, *(i for i, code in enumerate(LANGUAGES) if word in FUNCTION_WORDS[code]))
+def _features(token: str) -> tuple[int, ...]:
+    """Buckets of the words in a token: each word, its affixes and n-grams, special letters, and the lexicons it stands in."""
+    found: list[int] = []
+    for word in _WORDS.findall(token.lower()):
+        flat = word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+        framed = f"^{flat}$"
+        names = [f"w{word}", f"v{flat}"]
+        names += [f"p{flat[:n]}" for n in (1, 2, 3) if len(flat) > n] + [f"s{flat[-n:]}" for n in (1, 2, 3, 4) if len(flat) > n]
+        names += [f"g{framed[i : i + 3]}" for i in range(len(framed) - 2)] + [f"b{framed[i : i + 2]}" for i in range(len(framed) - 1)]
+        names += [f"c{c}" for c in sorted(set(word)) if not c.isascii()]
+        found += [K + zlib.crc32(n.encode()) % (BUCKETS - K) for n in names]
+        found += [i for i, code in enumerate(LANGUAGES) if word in FUNCTION_WORDS[code]]
+    return tuple(found)
 
 
 def _forward_backward(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,11 +94,11 @@ def _forward_backward(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray
     top = scores.max(axis=2)
     move = np.exp(trans)
     alpha, scale = np.empty_like(pot), np.ones((n, steps))
-    a = pot[:, 0]
+    a, ones = pot[:, 0], np.ones(K)
     for t in range(steps):
         if t:
             a = (a @ move) * pot[:, t]
-        total = a.sum(axis=1)
+        total = a @ ones
         live = t < lengths
         scale[:, t] = np.where(live, total, 1.0)
         a = a / total[:, None]
@@ -96,38 +108,51 @@ def _forward_backward(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray
     pairs = np.zeros((K, K))
     for t in range(steps - 1, -1, -1):
         marginal = alpha[:, t] * beta
-        marginals[:, t] = marginal / marginal.sum(axis=1, keepdims=True)
+        marginals[:, t] = marginal / (marginal @ ones)[:, None]
         if t:
             live = (t < lengths)[:, None]
             weighted = np.where(live, pot[:, t] * beta, 0.0)
             back = weighted @ move.T
-            norm = (alpha[:, t - 1] * back).sum(axis=1, keepdims=True)
+            norm = ((alpha[:, t - 1] * back) @ ones)[:, None]
             safe = np.where(norm > 0, norm, 1.0)
             pairs += move * ((alpha[:, t - 1] / safe).T @ weighted)
-            beta = np.where(live, back / np.where(live, back.sum(axis=1, keepdims=True), 1.0) * K, 1.0)
+            beta = np.where(live, back / np.where(live, (back @ ones)[:, None], 1.0) * K, 1.0)
     mask = np.arange(steps)[None, :] < lengths[:, None]
     return marginals, pairs, (np.where(mask, np.log(scale) + top, 0.0)).sum(axis=1)
 
 
 def _posteriors(pot: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Marginals of padded sequences of potentials, without what only training needs."""
-    steps = pot.shape[1]
-    back = np.ascontiguousarray(move.T)
+    """Marginals (rows, words, labels) of padded sequences of potentials."""
+    return _swept(np.ascontiguousarray(pot.transpose(1, 0, 2)), lengths, move).transpose(1, 0, 2)
+
+
+def _swept(pot: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Marginals (words, rows, labels) of padded sequences of potentials in the same shape, without what only training needs.
+
+    Sums are brought back to one every fourth word; potentials have 1 as their
+    largest, so nothing leaves the range of a float in between.
+    """
+    steps = len(pot)
+    back, ones = np.ascontiguousarray(move.T), np.ones((K, 1), pot.dtype)
     alpha = np.empty_like(pot)
-    a = alpha[:, 0] = pot[:, 0]
+    a = alpha[0] = pot[0]
     for t in range(1, steps):
-        a = (a @ move) * pot[:, t]
-        a /= a.sum(axis=1, keepdims=True)
-        alpha[:, t] = a
-    live = (np.arange(steps)[None, :] < lengths[:, None])[:, :, None]
+        a = a @ move
+        a *= pot[t]
+        if t % 4 == 0:
+            a /= a @ ones
+        alpha[t] = a
     beta = np.ones_like(a)
     for t in range(steps - 1, 0, -1):
-        alpha[:, t] *= beta
-        turned = (pot[:, t] * beta) @ back
-        turned /= turned.sum(axis=1, keepdims=True)
-        beta = np.where(live[:, t], turned, beta)
-    alpha[:, 0] *= beta
-    return alpha / alpha.sum(axis=2, keepdims=True)
+        alpha[t] *= beta
+        turned = (pot[t] * beta) @ back
+        if t % 4 == 0:
+            turned /= turned @ ones
+        live = t < lengths
+        beta = turned if live.all() else np.where(live[:, None], turned, beta)
+    alpha[0] *= beta
+    alpha /= alpha @ ones
+    return alpha
 
 
 def fit(sequences: list[tuple[list[str], list[int]]], steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +161,7 @@ def fit(sequences: list[tuple[list[str], list[int]]], steps: int = STEPS) -> tup
     weights[np.arange(K), np.arange(K)] = 1.0
     if not sequences:
         return weights, trans
+    sequences = [(words[i : i + FIT_WORDS], labels[i : i + FIT_WORDS]) for words, labels in sequences for i in range(0, len(words), FIT_WORDS)]
     index: dict[str, int] = {}
     coded = [np.array([index.setdefault(w, len(index)) for w in words]) for words, _ in sequences]
     feats = [_features(w) for w in index]
@@ -146,21 +172,18 @@ def fit(sequences: list[tuple[list[str], list[int]]], steps: int = STEPS) -> tup
     for row, (code, (_, labels)) in enumerate(zip(coded, sequences)):
         ids[row, : len(code)], gold[row, : len(code)] = code, labels
     mask = np.arange(width)[None, :] < lengths[:, None]
-    truth = np.eye(K)[gold] * mask[:, :, None]
+    truth = np.eye(K)[gold[mask]]
     seen_pairs = np.zeros((K, K))
     both = mask[:, 1:]
     np.add.at(seen_pairs, (gold[:, :-1][both], gold[:, 1:][both]), 1.0)
+    to_types, to_buckets = _summing(ids[mask], len(feats)), _summing(flat, BUCKETS)
+    starts = np.r_[0, np.cumsum([len(f) for f in feats])[:-1]]
     grown_w, grown_t = np.full_like(weights, 1e-8), np.full_like(trans, 1e-8)
     for _ in range(steps):
-        by_type = np.zeros((len(feats), K))
-        np.add.at(by_type, of_type, weights[flat])
+        by_type = np.add.reduceat(weights[flat], starts, axis=0)
         marginals, pairs, _ = _forward_backward(by_type[ids], lengths, trans)
-        error = (truth - marginals * mask[:, :, None])[mask]
-        type_error = np.zeros((len(feats), K))
-        np.add.at(type_error, ids[mask], error)
-        step_w = np.zeros_like(weights)
-        np.add.at(step_w, flat, type_error[of_type])
-        step_w = step_w / len(coded) - 1e-4 * weights
+        type_error = to_types(truth - marginals[mask])
+        step_w = to_buckets(type_error[of_type]) / len(coded) - 1e-4 * weights
         step_t = (seen_pairs - pairs) / len(coded) - 1e-4 * trans
         grown_w += step_w**2
         grown_t += step_t**2
@@ -169,6 +192,20 @@ def fit(sequences: list[tuple[list[str], list[int]]], steps: int = STEPS) -> tup
     return weights, trans
 
 
+def _summing(keys: np.ndarray, size: int):
+    """A function that sums rows by their keys; sorting once makes each call a run over sorted rows."""
+    order = np.argsort(keys, kind="stable")
+    sorted_keys = keys[order]
+    firsts = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
+
+    def sums(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((size, rows.shape[1]))
+        out[sorted_keys[firsts]] = np.add.reduceat(rows[order], firsts, axis=0)
+        return out
+
+    return sums
+
+
 def _lexicon_votes(words: list[str]) -> np.ndarray:
     return np.array([sum(w in FUNCTION_WORDS[code] for w in words) for code in LANGUAGES])
 
@@ -179,35 +216,40 @@ def training_sequence(text: str, label: str) -> tuple[list[str], list[int]] | No
     A line whose function words clearly speak for another language has that one.
     """
     own = LANGUAGES.index(label)
-    words, labels = [], []
+    tokens, labels = [], []
     total = np.zeros(K)
     for line in text.split("\n"):
-        found = [w.lower() for w in _WORDS.findall(line)]
-        votes = _lexicon_votes(found)
+        found = [t for t in line.split() if any(map(str.isalpha, t))]
+        votes = _lexicon_votes(_WORDS.findall(line.lower()))
         total += votes
         ranked = np.sort(votes)
         clear = ranked[-1] >= 4 and ranked[-1] >= 2 * ranked[-2] + 1
-        words += found
+        tokens += found
         labels += [int(votes.argmax()) if clear else own] * len(found)
-    if len(words) < 8 or total.argmax() != own or total[own] < 3:
+    if len(tokens) < 8 or total.argmax() != own or total[own] < 3:
         return None
-    return words[:400], labels[:400]
+    return tokens[:SAMPLE_WORDS], labels[:SAMPLE_WORDS]
 
 
 class _Vocabulary(dict):
-    """Word to number; a word met for the first time gets its potentials and size."""
+    """Token to number; a token met for the first time gets its potentials and its number of letters, one without letters is 0."""
 
     def __init__(self, weights: np.ndarray):
         super().__init__()
-        self.weights, self.pot, self.sizes = weights, np.zeros((4096, K), "float32"), np.zeros(4096, "float32")
-
-    def __missing__(self, word: str) -> int:
-        i = self[word] = len(self)
+        self.weights, self.pot, self.sizes, self.used = weights, np.ones((4096, K), "float32"), np.zeros(4096, "float32"), 1
+
+    def __missing__(self, token: str) -> int:
+        features = _features(token)
+        if not features:
+            self[token] = 0
+            return 0
+        i = self[token] = self.used
+        self.used += 1
         if i >= len(self.sizes):
-            self.pot, self.sizes = np.concatenate([self.pot, np.zeros_like(self.pot)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        score = self.weights[list(_features(word.lower()[:60]))].sum(axis=0)
-        self.pot[i] = np.exp(score - score.max())
-        self.sizes[i] = len(word)
+            self.pot, self.sizes = np.concatenate([self.pot, np.ones_like(self.pot)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        score = self.weights[list(features)].sum(axis=0)
+        self.pot[i] = np.exp(np.maximum(score - score.max(), -60.0))
+        self.sizes[i] = sum(map(str.isalpha, token))
         return i
 
 
@@ -229,33 +271,41 @@ class Field:
         """Marginals of each word, the sequences given by start and length."""
         out = np.empty((len(ids), K), "float32")
         order = np.argsort(lengths, kind="stable")
-        for at in range(0, len(order), 256):
-            part = order[at : at + 256]
+        at = 0
+        while at < len(order):
+            # sequences of like length share a block of a bounded size
+            part = order[at : at + max(1, BLOCK_WORDS // int(lengths[order[min(len(order), at + 1024) - 1]]))][:1024]
             size = lengths[part]
             span = np.arange(int(size.max()))
-            where = starts[part][:, None] + np.minimum(span[None, :], size[:, None] - 1)
-            live = span[None, :] < size[:, None]
-            out[where[live]] = _posteriors(self.words.pot[ids[where]], size, self.move)[live]
+            where = starts[part][None, :] + np.minimum(span[:, None], size[None, :] - 1)
+            live = span[:, None] < size[None, :]
+            out[where[live]] = _swept(self.words.pot[ids[where]], size, self.move)[live]
+            at += len(part)
         return out
 
     def label(self, texts: list[list[tuple[int, str]]]) -> list[tuple[str | None, float, list[tuple[int, str, float]]]]:
         """For each row of (line number, line): its language, confidence, and its lines in another language."""
         if len(self.words) > 400_000:
             self.words = _Vocabulary(self.weights)
-        number = self.words.__getitem__
-        flat, numbers, owners, begins = [], [], [], []
+        flat, numbers, owners, counts = [], [], [], []
         for row, lines in enumerate(texts):
             for line_no, line in lines:
-                words = _WORDS.findall(_prose(line))
-                if words and not _CODE.match(line):
+                tokens = _prose(line).split()
+                if tokens and not _CODE.match(line):
                     numbers.append(line_no)
                     owners.append(row)
-                    begins.append(len(flat))
-                    flat.extend(map(number, words))
+                    counts.append(len(tokens))
+                    flat += tokens
         out: list[tuple[str | None, float, list[tuple[int, str, float]]]] = [(None, 0.0, []) for _ in texts]
-        if not flat:
+        ids = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+        words = ids > 0
+        if not words.any():
             return out
-        ids, owner, begin = np.array(flat), np.array(owners), np.array(begins)
+        line_of = np.repeat(np.arange(len(counts)), counts)[words]
+        ids = ids[words]
+        begin = np.flatnonzero(np.r_[True, line_of[1:] != line_of[:-1]])
+        told = line_of[begin]
+        owner, numbers = np.array(owners)[told], np.array(numbers)[told].tolist()
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         ends = np.r_[begin[first][1:], len(ids)]
         spans = [(s, min(MAX_WORDS, e - s)) for b, e in zip(begin[first], ends) for s in range(b, e, MAX_WORDS)]
@@ -277,10 +327,19 @@ class Field:
 
 
 def sample_rows(texts: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """(text, label) of at most ``per_language`` labelled rows of each language, drawn by a hash of the id."""
-    labelled = texts.withColumn("label", label_code(F.col("language"))).where(F.col("label").isNotNull() & (F.length("text") > 100))
-    drawn = Window.partitionBy("label").orderBy(F.xxhash64("rec_id"), "rec_id")
-    return labelled.select("rec_id", "label", "text").withColumn("nth", F.row_number().over(drawn)).where(F.col("nth") <= per_language).select("text", "label")
+    """(text, label) of at most about ``per_language`` labelled rows of each language: those of the smallest hashes of their ids.
+
+    Only ids and labels are ranked, so no text is shuffled; rows of one id count
+    as one and come together.
+    """
+    labelled = texts.where(F.col("text").isNotNull()).select("text", label_code(F.col("language")).alias("label"), F.xxhash64("rec_id").alias("mark")).where("label is not null")
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("mark"))
+    # at most six rows
+    most = {r.label: r.most for r in labelled.select("label", "mark").withColumn("nth", nth).where(F.col("nth") <= per_language).groupBy("label").agg(F.max("mark").alias("most")).collect()}
+    drawn = F.lit(False)
+    for label, mark in most.items():
+        drawn = drawn | ((F.col("label") == label) & (F.col("mark") <= mark))
+    return labelled.where(drawn).select("text", "label")
 
 
 def train(texts: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
