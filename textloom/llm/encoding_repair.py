@@ -1,13 +1,16 @@
 """Garbled text from wrong character decoding: find it and give back the original.
 
 Method: best-first search over a graph whose nodes are texts and whose edges are
-"encode with the codec it was read with, decode with the one it was written in"
-and unescape steps.  A character-plausibility cost orders the frontier, a visited
-set keeps states from being expanded twice, and the cheapest text reached wins.
+"encode with the codec it was read with, decode with the one it was written in",
+unescape steps, and a step that gives a lost no-break space back.  A
+character-plausibility cost orders the frontier, a visited set keeps states from
+being expanded twice, and the cheapest text reached wins.  The search ends where
+all that is left costs more than the best text by ``SLACK`` and half of what is won
+so far; steps cost something each, so it ends by itself, however long the way is.
 
 Each line is searched by itself, and a step rewrites only the runs of a line that
 decode cleanly, so a document that is garbled in part is repaired in part.  Spark
-filters documents with suspicious characters before anything reaches Python.
+keeps ASCII texts without escapes from reaching Python.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ STEPS = (
 )
 #: What a step costs: clean UTF-8 is strong evidence by itself, a swap of two single-byte codecs is not.
 STEP_COST, SWAP_COST = 0.05, 0.35
-#: Expanded states per line and edges from the start; lines reach their goal in one to three steps.
-MAX_EXPANDED, MAX_DEPTH = 24, 4
+#: States that cost this much more than the best text so far, and half of what that has won, are not expanded.
+SLACK = 0.6
 #: A repair counts if it lowers the cost of the line by at least this much.
 MARGIN = 0.9
 #: A state whose non-ASCII characters cost no more than this on average is sound and ends the search.
@@ -43,21 +46,38 @@ SOUND = 0.16
 PLAIN_LETTERS = "äöüßàâæçéèêëîïôœùûüÿáíóúñãõìòëïÄÖÜẞÀÂÆÇÉÈÊËÎÏÔŒÙÛÜŸÁÍÓÚÑÃÕÌÒ"
 PLAIN_MARKS = "–—‘’‚“”„«»‹›…•·¿¡§°€£≈→←×±½©®™²³ºª− ­​  ﻿"
 PLAIN = frozenset(PLAIN_LETTERS + PLAIN_MARKS)
-_PLAIN_CLASS = re.escape(PLAIN_LETTERS + PLAIN_MARKS)
-#: A line is worth searching if it has an unusual character or two non-ASCII ones side by side.
-SUSPICIOUS = re.compile(f"[^\x00-\x7f{_PLAIN_CLASS}]|[^\x00-\x7f]{{2}}|[ÃÂâÄ√][^\x00-\x7f]|[\x80-\x9f]|&[#A-Za-z0-9]+;|�")
+#: Marks that may stand between two letters of a word.
+_JOINERS = frozenset("’–—·\xad\u200b\u200d…")
+_ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
+_RUN = re.compile(r"[^\x00-\x7f]+")
 _QUOTED = re.compile(r"[\"'“”„«»‘’`‚‹›(\[]\s?([^\x00-\x7f]{1,8})\s?[\"'“”„«»‘’`›)\]]")
 
 
-def suspicious(text: Column) -> Column:
-    """JVM-side prefilter: two non-ASCII characters in a row, or one outside common European letters and marks."""
-    marks = "".join(f"\\x{{{ord(c):x}}}" for c in sorted(PLAIN))
-    return text.rlike(f"[^\\x00-\\x7f{marks}]|[^\\x00-\\x7f]{{2}}|[\\x{{80}}-\\x{{9f}}]")
+def searchable(text: Column) -> Column:
+    """Whether a text can be garbled at all: it has a character beyond ASCII or an escape."""
+    return (F.octet_length(text) != F.char_length(text)) | (F.contains(text, F.lit("&")) & text.rlike(_ENTITY.pattern))
+
+
+@lru_cache(maxsize=65536)
+def _odd(run: str) -> int:
+    """0 for a run of usual characters, 1 for one usual only outside of words in small letters, 2 for an unusual one."""
+    if not PLAIN.issuperset(run) or (len(run) > 1 and not (run.isalpha() and (run.islower() or run.isupper()))):
+        return 2
+    return int(len(run) == 1 and not run.islower() and run not in _JOINERS)
+
+
+def suspicious(text: str) -> bool:
+    """Whether any run of a text is unusual where it stands, or hidden behind an escape."""
+    for m in _RUN.finditer(text):
+        odd = _odd(m.group())
+        if odd == 2 or (odd and (text[m.start() - 1 : m.start()].islower() or (m.group() == "Ã" and text[m.end() : m.end() + 1] == " "))):
+            return True
+    return "&" in text and _ENTITY.search(text) is not None
 
 
 @lru_cache(maxsize=None)
-def _reader(codec: str) -> tuple[dict[str, int], re.Pattern]:
-    """Character to byte for a single-byte codec (unassigned bytes read as the control of that number), and its runs."""
+def _reader(codec: str) -> tuple[dict[str, int], re.Pattern, frozenset[str]]:
+    """Character to byte for a single-byte codec (unassigned bytes read as the control of that number), its runs, and what can lead a character in UTF-8."""
     table: dict[str, int] = {}
     for byte in range(0x80, 0x100):
         try:
@@ -67,11 +87,11 @@ def _reader(codec: str) -> tuple[dict[str, int], re.Pattern]:
     if codec != "latin-1":
         for byte in range(0x80, 0xA0):
             table.setdefault(chr(byte), byte)
-    return table, re.compile("[" + "".join(map(re.escape, table)) + "]+")
+    return table, re.compile("[" + "".join(map(re.escape, table)) + "]+"), frozenset(c for c, byte in table.items() if 0xC2 <= byte <= 0xF4)
 
 
 def _reread(text: str, was: str, written: str) -> str:
-    table, runs = _reader(was)
+    table, runs, _ = _reader(was)
 
     def turn(match: re.Match) -> str:
         raw = bytes(table[c] for c in match.group())
@@ -96,7 +116,6 @@ def _script(c: str) -> str:
 
 
 _WORD = re.compile(r"[^\W\d_]+")
-_RUN = re.compile(r"[^\x00-\x7f]+")
 
 
 @lru_cache(maxsize=65536)
@@ -119,85 +138,109 @@ def _char_cost(c: str) -> float:
 
 def plausibility_cost(text: str) -> float:
     """How implausible the characters of a text are; 0 for plain ASCII."""
-    total = sum(_char_cost(c) for m in _RUN.finditer(text) for c in m.group())
-    latin = cyrillic = 0
+    if text.isascii():
+        return 0.0
+    total, scripts = 0.0, set()
     for m in _RUN.finditer(text):
         run, before = m.group(), text[m.start() - 1 : m.start()]
         after = text[m.end() : m.end() + 1]
         inside = before.isalpha()
+        total += sum(map(_char_cost, run))
+        scripts.update(map(_script, run))
         for i, c in enumerate(run):
-            if not c.isalpha() and c not in "’–—·­​…®™©°ºª" and (inside or (i + 1 < len(run) and run[i + 1].isalpha())) and c not in "“”„«»‘‚¿¡":
+            follows = run[i + 1 : i + 2]
+            if not c.isalpha() and c not in _JOINERS and c not in "®™©°ºª" and (inside or follows.isalpha()) and c not in "“”„«»‘‚¿¡":
                 total += 0.8
-            if c in "ÃÂÄÅ√" and i + 1 < len(run) and run[i + 1] not in PLAIN_LETTERS:
-                total += 0.8
-        if before.islower() and run[0].isupper():
+            if c in "ÃÂÄÅ√" and follows and not follows.isupper():
+                total += 1.0
+        if before.islower() and (run[0].isupper() or (after.islower() and len(run) == 1 and not run.isalpha() and run not in _JOINERS)):
+            total += 1.0
+        if run == "Ã" and after == " " and not inside:
             total += 1.0
         if len(run) > 2 and run.isalpha() and _script(run[0]) == "latin":
             total += 0.5 * (len(run) - 2)
-        if before.isalpha() and after.isalpha() and run.isalpha() and _script(run[0]) != "latin":
+        if inside and after.isalpha() and run.isalpha() and _script(run[0]) != "latin":
             total += 0.4
-    for m in _WORD.finditer(text):
-        word = m.group()
-        if word.isascii():
-            latin += 1
-            continue
-        kinds = {_script(c) for c in word}
-        if len(kinds) > 1:
-            total += 1.5
-        elif kinds == {"cyrillic"} or kinds == {"greek"}:
-            cyrillic += 1
-            total += 1.0 if len(word) < 3 else 0.0
-        else:
-            latin += 1
-    if cyrillic and latin > 2 * cyrillic:
-        total += 0.3 * cyrillic
-    return total
+    return total if scripts == {"latin"} else total + _mixture_cost(text)
+
+
+def _mixture_cost(text: str) -> float:
+    """What words in another script cost: mixed within a word, very short, or few among Latin ones."""
+    total, latin, others = 0.0, 0, 0
+    for part in text.split():
+        for word in _WORD.findall(part) if not part.isascii() else ():
+            kinds = {_script(c) for c in word}
+            if len(kinds) > 1:
+                total += 1.5
+            elif kinds <= {"cyrillic", "greek"}:
+                others += 1
+                total += 1.0 if len(word) < 3 else 0.0
+            else:
+                latin += 1
+        latin += part.isascii() and any(map(str.isalpha, part))
+    return total + (0.3 * others if others and latin > 2 * others else 0.0)
+
+
+def _state_cost(text: str) -> float:
+    """Cost of a text as it reads when its escapes are undone."""
+    return plausibility_cost(html.unescape(text) if "&" in text else text)
+
+
+_LOST_SPACE = re.compile(r"(?<![A-ZÀ-Þ])Ã ")
 
 
 def _edges(text: str) -> Iterator[tuple[str, str]]:
+    present = set().union(*_RUN.findall(text))
     for was, written in STEPS:
-        turned = _reread(text, was, written)
-        if turned != text:
-            yield f"{was}>{written}", turned
+        table, _, leads = _reader(was)
+        if not present.isdisjoint(leads if written == "utf-8" else table.keys()):
+            turned = _reread(text, was, written)
+            if turned != text:
+                yield f"{was}>{written}", turned
     if "&" in text:
-        turned = html.unescape(text)
-        if turned != text:
-            yield "unescape", turned
+        yield "unescape", html.unescape(text)
+    if "Ã " in text:
+        yield "space", _LOST_SPACE.sub("Ã\xa0", text)
 
 
-@lru_cache(maxsize=20000)
 def search_line(line: str) -> tuple[str, tuple[str, ...], float]:
     """Cheapest text reachable from a line, the steps to it, and the cost saved."""
-    start = plausibility_cost(line)
+    return _search_short(line) if len(line) <= 2000 else _search(line)
+
+
+def _search(line: str) -> tuple[str, tuple[str, ...], float]:
+    start = _state_cost(line)
     if start < MARGIN:
         return line, (), 0.0
     best, best_cost, best_path = line, start, ()
     frontier: list[tuple[float, int, float, str, tuple[str, ...]]] = [(start, 0, 0.0, line, ())]
-    visited, order, expanded = {hash(line)}, 0, 0
-    while frontier and expanded < MAX_EXPANDED:
+    visited, order = {line}, 0
+    while frontier:
         cost, _, paid, state, path = heapq.heappop(frontier)
+        if cost > best_cost + SLACK + (start - best_cost) / 2:
+            break
         if cost < best_cost - 1e-9:
             best, best_cost, best_path = state, cost, path
-        if cost - paid <= SOUND * sum(map(len, _RUN.findall(state))):
+        if cost - paid <= SOUND * sum(map(len, _RUN.findall(state))) and not ("&" in state and not path):
             break
-        if len(path) >= MAX_DEPTH:
-            continue
-        expanded += 1
         for name, turned in _edges(state):
-            if hash(turned) in visited:
+            if turned in visited:
                 continue
-            visited.add(hash(turned))
+            visited.add(turned)
             order += 1
-            toll = paid + (STEP_COST if name.endswith("utf-8") or name == "unescape" else SWAP_COST)
-            heapq.heappush(frontier, (plausibility_cost(turned) + toll, order, toll, turned, (*path, name)))
+            toll = paid + (SWAP_COST if ">" in name and not name.endswith("utf-8") else STEP_COST)
+            heapq.heappush(frontier, (_state_cost(turned) + toll, order, toll, turned, (*path, name)))
     return best, best_path, start - best_cost
 
 
+_search_short = lru_cache(maxsize=8192)(_search)
+
+
 def walk(text: str, path: tuple[str, ...]) -> str:
     """Take the named steps one after the other."""
     for name in path:
         was, _, written = name.partition(">")
-        text = _reread(text, was, written) if written else html.unescape(text)
+        text = _reread(text, was, written) if written else html.unescape(text) if name == "unescape" else _LOST_SPACE.sub("Ã\xa0", text)
     return text
 
 
@@ -207,22 +250,23 @@ def repair_text(text: str | None) -> tuple[str | None, bool, str]:
     A garbled sequence that a text quotes on purpose (alone inside quotation marks,
     in a line that is otherwise sound) is left as it is and does not count.
     """
-    if not text or not SUSPICIOUS.search(text):
+    if not text or not suspicious(text):
         return text, False, ""
     lines = text.split("\n")
     found: dict[int, tuple[str, tuple[str, ...]]] = {}
     garbled, steps = False, {}
     for i, line in enumerate(lines):
-        if line.isascii() or not SUSPICIOUS.search(line):
+        if not suspicious(line):
             continue
-        rest = _QUOTED.sub('""', line)
-        if rest != line and "�" not in rest and search_line(rest)[2] < MARGIN:
+        plain = html.unescape(line) if "&" in line else line
+        rest = _QUOTED.sub('""', plain)
+        if rest != plain and "�" not in rest and search_line(rest)[2] < MARGIN:
             continue
         if "�" in line:
             garbled = True
             steps["replacement"] = None
         best, path, saved = search_line(line)
-        if saved >= MARGIN and any(p != "unescape" for p in path):
+        if saved >= MARGIN and any(">" in p for p in path):
             garbled = True
             found[i] = (best, path)
     usual = Counter(path for _, path in found.values()).most_common(1)
@@ -245,7 +289,9 @@ _RESULT = T.StructType(
 @F.pandas_udf(_RESULT)
 def _repair(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in parts:
-        yield pd.DataFrame([repair_text(t) for t in texts], columns=["text", "garbled", "steps"])
+        found = map(repair_text, texts)
+        # a sound text stays where it is and does not travel back
+        yield pd.DataFrame([(fixed if garbled else None, garbled, steps) for fixed, garbled, steps in found], columns=["text", "garbled", "steps"])
 
 
 def repair_encoding(df: DataFrame, text: str = "text", out: str = "repaired") -> DataFrame:
@@ -256,5 +302,7 @@ def repair_encoding(df: DataFrame, text: str = "text", out: str = "repaired") ->
     keeps the character, and steps says ``replacement``.  An existing column named
     ``out`` is replaced; other columns and repeated rows are untouched.
     """
-    sound = F.struct(F.col(text).alias("text"), F.lit(False).alias("garbled"), F.lit("").alias("steps"))
-    return df.withColumn(out, F.when(suspicious(F.col(text)), _repair(F.when(suspicious(F.col(text)), F.col(text)))).otherwise(sound))
+    found = _repair(F.when(searchable(F.col(text)), F.col(text)))
+    return df.withColumn(out, found).withColumn(
+        out, F.struct(F.coalesce(F.col(out)["text"], F.col(text) if text != out else F.lit(None)).alias("text"), F.col(out)["garbled"].alias("garbled"), F.col(out)["steps"].alias("steps"))
+    )

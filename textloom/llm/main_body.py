@@ -77,7 +77,7 @@ _WHOLE = re.compile(
 # fixed values: parts of notices
 _NOTICE = re.compile(
     r"\b(?:writes|schreibt|écrit|escribe|escreve|schrijft) (?:about|for|at|bei|für|über|sur|pour|chez|sobre|en|em|para|over|bij|voor)\b|, (?:staff writer|(?:de la |van de |da |de )?(?:redaktion|rédaction|redacción|redação|redactie))\W*$"
-    r"|cookie|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos|todos os direitos|alle rechten|warranty|ohne gewähr|sans garantie|sin garantía|sem garantia|zonder (?:enige )?garantie"
+    r"|cookie|on your device|auf (?:ihrem|deinem) gerät|sur votre appareil|en (?:tu|su) (?:equipo|dispositivo)|no (?:seu|teu) (?:dispositivo|equipamento|computador)|op uw apparaat|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos|todos os direitos|alle rechten|warranty|ohne gewähr|sans garantie|sin garantía|sem garantia|zonder (?:enige )?garantie"
     r"|written (?:consent|permission)|schriftliche\w* (?:zustimmung|genehmigung)|accord écrit|permiso escrito|autorização escrita|consentimento escrito|schriftelijke toestemming"
     r"|opinions (?:are|expressed)|die meinung|avis exprimés|las opiniones|as opiniões|de meningen|reproduction|reproducción|reprodução|nachdruck",
     re.I,
