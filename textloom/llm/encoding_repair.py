@@ -36,6 +36,8 @@ STEPS = (
 )
 #: What a step costs: clean UTF-8 is strong evidence by itself, a swap of two single-byte codecs is not.
 STEP_COST, SWAP_COST = 0.05, 0.35
+#: Each further character a swap reads anew is one more assumption, as a swap keeps their number and proves nothing.
+SWAP_CHARACTER_COST = 0.15
 #: States that cost this much more than the best text so far, and half of what that has won, are not expanded.
 SLACK = 0.6
 #: A repair counts if it lowers the cost of the line by at least this much.
@@ -221,14 +223,16 @@ def _search(line: str) -> tuple[str, tuple[str, ...], float]:
             break
         if cost < best_cost - 1e-9:
             best, best_cost, best_path = state, cost, path
-        if cost - paid <= SOUND * sum(map(len, _RUN.findall(state))) and not ("&" in state and not path):
+        beyond_ascii = sum(map(len, _RUN.findall(state)))
+        if cost - paid <= SOUND * beyond_ascii and not ("&" in state and not path):
             break
+        swap_cost = SWAP_COST + SWAP_CHARACTER_COST * max(beyond_ascii - 1, 0)
         for name, turned in _edges(state):
             if turned in visited:
                 continue
             visited.add(turned)
             order += 1
-            toll = paid + (SWAP_COST if ">" in name and not name.endswith("utf-8") else STEP_COST)
+            toll = paid + (swap_cost if ">" in name and not name.endswith("utf-8") else STEP_COST)
             heapq.heappush(frontier, (_state_cost(turned) + toll, order, toll, turned, (*path, name)))
     return best, best_path, start - best_cost
 
