@@ -6,7 +6,9 @@ unescape steps, and a step that gives a lost no-break space back.  A
 character-plausibility cost orders the frontier, a visited set keeps states from
 being expanded twice, and the cheapest text reached wins.  The search ends where
 all that is left costs more than the best text by ``SLACK`` and half of what is won
-so far; steps cost something each, so it ends by itself, however long the way is.
+so far.  A UTF-8 or unescape step shortens the text and a way holds one swap of two
+single-byte codecs at most (a second could turn any text into any other), so the
+graph is finite and the search ends by itself, without a cap on states or steps.
 
 Each line is searched by itself, and a step rewrites only the runs of a line that
 decode cleanly, so a document that is garbled in part is repaired in part.  Spark
@@ -92,17 +94,17 @@ def _reader(codec: str) -> tuple[dict[str, int], re.Pattern, frozenset[str]]:
     return table, re.compile("[" + "".join(map(re.escape, table)) + "]+"), frozenset(c for c, byte in table.items() if 0xC2 <= byte <= 0xF4)
 
 
-def _reread(text: str, was: str, written: str) -> str:
-    table, runs, _ = _reader(was)
+@lru_cache(maxsize=65536)
+def _turned(run: str, was: str, written: str) -> str:
+    table = _reader(was)[0]
+    try:
+        return bytes(table[c] for c in run).decode(written)
+    except UnicodeDecodeError:
+        return run
 
-    def turn(match: re.Match) -> str:
-        raw = bytes(table[c] for c in match.group())
-        try:
-            return raw.decode(written)
-        except UnicodeDecodeError:
-            return match.group()
 
-    return runs.sub(turn, text)
+def _reread(text: str, was: str, written: str) -> str:
+    return _reader(was)[1].sub(lambda m: _turned(m.group(), was, written), text)
 
 
 @lru_cache(maxsize=65536)
@@ -138,32 +140,38 @@ def _char_cost(c: str) -> float:
     return 0.9 if o < 0x2400 else 0.2
 
 
+@lru_cache(maxsize=65536)
+def _run_cost(before: str, run: str, after: str) -> tuple[float, bool]:
+    """Cost of a run of characters beyond ASCII between two others, and whether it has letters that are not Latin."""
+    inside = before.isalpha()
+    total = sum(map(_char_cost, run))
+    for i, c in enumerate(run):
+        follows = run[i + 1 : i + 2]
+        if not c.isalpha() and c not in _JOINERS and c not in "®™©°ºª" and (inside or follows.isalpha()) and c not in "“”„«»‘‚¿¡":
+            total += 0.8
+        if c in "ÃÂÄÅ√" and follows and not follows.isupper():
+            total += 1.0
+    if before.islower() and (run[0].isupper() or (after.islower() and len(run) == 1 and not run.isalpha() and run not in _JOINERS)):
+        total += 1.0
+    if run == "Ã" and after == " " and not inside:
+        total += 1.0
+    if len(run) > 2 and run.isalpha() and _script(run[0]) == "latin":
+        total += 0.5 * (len(run) - 2)
+    if inside and after.isalpha() and run.isalpha() and _script(run[0]) != "latin":
+        total += 0.4
+    return total, any(c.isalpha() and _script(c) != "latin" for c in run)
+
+
 def plausibility_cost(text: str) -> float:
     """How implausible the characters of a text are; 0 for plain ASCII."""
     if text.isascii():
         return 0.0
-    total, scripts = 0.0, set()
+    total, foreign = 0.0, False
     for m in _RUN.finditer(text):
-        run, before = m.group(), text[m.start() - 1 : m.start()]
-        after = text[m.end() : m.end() + 1]
-        inside = before.isalpha()
-        total += sum(map(_char_cost, run))
-        scripts.update(map(_script, run))
-        for i, c in enumerate(run):
-            follows = run[i + 1 : i + 2]
-            if not c.isalpha() and c not in _JOINERS and c not in "®™©°ºª" and (inside or follows.isalpha()) and c not in "“”„«»‘‚¿¡":
-                total += 0.8
-            if c in "ÃÂÄÅ√" and follows and not follows.isupper():
-                total += 1.0
-        if before.islower() and (run[0].isupper() or (after.islower() and len(run) == 1 and not run.isalpha() and run not in _JOINERS)):
-            total += 1.0
-        if run == "Ã" and after == " " and not inside:
-            total += 1.0
-        if len(run) > 2 and run.isalpha() and _script(run[0]) == "latin":
-            total += 0.5 * (len(run) - 2)
-        if inside and after.isalpha() and run.isalpha() and _script(run[0]) != "latin":
-            total += 0.4
-    return total if scripts == {"latin"} else total + _mixture_cost(text)
+        at, end = m.span()
+        cost, other = _run_cost(text[at - 1 : at], m.group(), text[end : end + 1])
+        total, foreign = total + cost, foreign or other
+    return total + _mixture_cost(text) if foreign else total
 
 
 def _mixture_cost(text: str) -> float:
@@ -191,10 +199,16 @@ def _state_cost(text: str) -> float:
 _LOST_SPACE = re.compile(r"(?<![A-ZÀ-Þ])Ã ")
 
 
-def _edges(text: str) -> Iterator[tuple[str, str]]:
+def _is_swap(name: str) -> bool:
+    return ">" in name and not name.endswith(">utf-8")
+
+
+def _edges(text: str, swaps: bool = True) -> Iterator[tuple[str, str]]:
     present = set().union(*_RUN.findall(text))
     for was, written in STEPS:
         table, _, leads = _reader(was)
+        if written != "utf-8" and not swaps:
+            continue
         if not present.isdisjoint(leads if written == "utf-8" else table.keys()):
             turned = _reread(text, was, written)
             if turned != text:
@@ -223,16 +237,14 @@ def _search(line: str) -> tuple[str, tuple[str, ...], float]:
             break
         if cost < best_cost - 1e-9:
             best, best_cost, best_path = state, cost, path
-        beyond_ascii = sum(map(len, _RUN.findall(state)))
-        if cost - paid <= SOUND * beyond_ascii and not ("&" in state and not path):
+        if cost - paid <= SOUND * sum(map(len, _RUN.findall(state))) and not ("&" in state and not path):
             break
-        swap_cost = SWAP_COST + SWAP_CHARACTER_COST * max(beyond_ascii - 1, 0)
-        for name, turned in _edges(state):
+        for name, turned in _edges(state, not any(map(_is_swap, path))):
             if turned in visited:
                 continue
             visited.add(turned)
             order += 1
-            toll = paid + (swap_cost if ">" in name and not name.endswith("utf-8") else STEP_COST)
+            toll = paid + (SWAP_COST + SWAP_CHARACTER_COST * (sum(map(str.__ne__, state, turned)) - 1) if _is_swap(name) else STEP_COST)
             heapq.heappush(frontier, (_state_cost(turned) + toll, order, toll, turned, (*path, name)))
     return best, best_path, start - best_cost
 
