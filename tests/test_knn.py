@@ -67,3 +67,9 @@ def test_empty(tables):
     vectors, asked = tables
     assert knn.knn(vectors, asked.limit(0), 5).count() == 0
     assert knn.knn(vectors.limit(0), asked, 5).count() == 0
+
+
+def test_scores_in_small_blocks(tables, monkeypatch):
+    monkeypatch.setattr(knn, "SCORE_BYTES", 8 * 8 * 3)
+    got = {(r.qid, r["rank"]): r.vec_id for r in knn.knn(*tables, 5).collect()}
+    assert got == {(q, n + 1): i for q, found in brute(5).items() for n, i in enumerate(found)}

@@ -1,8 +1,8 @@
 """Nearest neighbours over a vector table: exact in blocks, and through hash buckets.
 
 A stated query set runs against all rows: each task holds the queries as one
-matrix, scores its rows block by block and keeps the k best of the block, so what
-is shuffled is k rows for each query and block, whatever the table's size.
+matrix, scores its rows block by block and keeps the k best so far, so what is
+shuffled is k rows for each query and task, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 #: One block of queries is broadcast as a matrix of at most this many bytes; more queries run as several blocks.
-QUERY_BYTES = 256 << 20
-BLOCK = 8192
+QUERY_BYTES = 64 << 20
+#: Scores of one block of rows against all queries of a task take at most this many bytes.
+SCORE_BYTES = 64 << 20
 
 
 def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -49,18 +50,23 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def _block_scorer(shared, k: int):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids, q = shared.value
+        step = max(1, SCORE_BYTES // (8 * len(qids)))
+        best, ids = np.full((len(qids), k), -np.inf), np.zeros((len(qids), k), dtype="int64")
         for batch in batches:
-            for at in range(0, len(batch), BLOCK):
-                part = batch.iloc[at : at + BLOCK]
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at : at + step]
                 rows = np.array(part["vector"].tolist(), dtype="float64")
                 size = np.linalg.norm(rows, axis=1)
                 sims = np.round(q @ (rows / np.where(size > 0, size, 1.0)[:, None]).T, 9)
                 sims[:, size == 0] = -np.inf
-                vec = part["vec_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(vec, sims.shape), -sims), axis=1)[:, :k]
-                best = np.take_along_axis(sims, order, axis=1)
-                flat = pd.DataFrame({"qid": np.repeat(qids, order.shape[1]), "vec_id": vec[order].ravel(), "score": best.ravel()})
-                yield flat[np.isfinite(flat["score"])]
+                # a score as good as the k-th so far may win by its id; queries without one keep what they have
+                better = np.flatnonzero((sims >= best[:, -1:]).any(axis=1))
+                scores = np.hstack([best[better], sims[better]])
+                vec = np.hstack([ids[better], np.broadcast_to(part["vec_id"].to_numpy(), (len(better), len(part)))])
+                order = np.lexsort((vec, -scores), axis=1)[:, :k]
+                best[better], ids[better] = np.take_along_axis(scores, order, axis=1), np.take_along_axis(vec, order, axis=1)
+        flat = pd.DataFrame({"qid": np.repeat(qids, k), "vec_id": ids.ravel(), "score": best.ravel()})
+        yield flat[np.isfinite(flat["score"])]
 
     return score
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 #: Weight of the old value in the moving average.
 KEEP = 0.9
-#: Rows beyond which 0.9 to that power is below the precision of a double (0.9 ** 420 < 1e-19).
-EMA_ROWS = 420
+#: Rows of a smaller weight than this are below the precision of a double.
+EMA_WEIGHT = 1e-19
 
 
 def agent_stats(runs: DataFrame, agent: str, value: str, failed: str) -> DataFrame:
@@ -19,13 +21,17 @@ def agent_stats(runs: DataFrame, agent: str, value: str, failed: str) -> DataFra
 
 
 def moving_average(rows: DataFrame, key: str, order: list[str], value: str, keep: float = KEEP) -> DataFrame:
-    """(key, average): 0.9 of the old value and 0.1 of the new one, over all rows of a key in order.
+    """(key, average): ``keep`` of the old value and the rest of the new one, over all rows of a key in order.
 
-    Only the newest rows weigh more than the precision of a double, so the group
-    limit takes those before the exchange and no group is gathered whole.
+    ``keep`` lies above 0 and below 1.  Only the newest rows weigh more than the
+    precision of a double (for 0.9 about 400), so the group limit takes those
+    before the exchange and no group is gathered whole.
     """
+    if not 0 < keep < 1:
+        raise ValueError(f"keep must lie between 0 and 1, not {keep}")
+    weighing = math.ceil(math.log(EMA_WEIGHT) / math.log(keep))
     newest = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    kept = rows.where(F.col(value).isNotNull()).select(key, *order, value).withColumn("age", F.row_number().over(newest) - 1).where(F.col("age") <= EMA_ROWS)
+    kept = rows.where(F.col(value).isNotNull()).select(key, *order, value).withColumn("age", F.row_number().over(newest) - 1).where(F.col("age") <= weighing)
     oldest = F.max("age").over(Window.partitionBy(key))
     weight = F.when(F.col("age") == oldest, F.pow(F.lit(keep), F.col("age"))).otherwise((1 - keep) * F.pow(F.lit(keep), F.col("age")))
     return kept.withColumn("w", weight).groupBy(key).agg(F.sum(F.col("w") * F.col(value)).alias("average"))

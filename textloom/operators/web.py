@@ -64,15 +64,18 @@ def html_text(html: Column) -> Column:
 def related_topics(pages: DataFrame, k: int = 5) -> DataFrame:
     """(site, topic, pages): the k words that stand in most titles of a site, those inside a longer one left out.
 
-    Candidates are cut to the 20 most frequent of each site before they are compared.
+    A word is compared with the parts of the site's longer words by an equi-join, so
+    no pairs of a site's words are formed; the parts grow with the square of a
+    word's length.
     """
     found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"[a-zß-ÿ]{4,}"), F.lit(0))))
     counts = pages.where("title is not null").select("site", found.alias("topic")).groupBy("site", "topic").agg(F.count("*").alias("pages"))
     order = Window.partitionBy("site").orderBy(F.col("pages").desc(), "topic")
-    top = counts.withColumn("nth", F.row_number().over(order)).where("nth <= 20")
-    longer = top.select("site", F.col("topic").alias("longer"))
-    inside = top.join(longer, "site").where((F.col("topic") != F.col("longer")) & F.contains("longer", "topic")).select("site", "topic").distinct()
-    kept = top.join(inside, ["site", "topic"], "left_anti")
+    longer = counts.where(F.length("topic") > 4).select("site", "topic", F.explode(F.sequence(F.lit(1), F.length("topic") - 3)).alias("start"))
+    parts = longer.select("site", F.col("topic").alias("longer"), F.explode(F.transform(F.sequence(F.lit(4), F.length("topic") - F.col("start") + 1), lambda n: F.substring("topic", F.col("start"), n))).alias("topic"))
+    inside = parts.where("topic <> longer").select("site", "topic")
+    # sites may be null: such rows are a group of their own, and none of their words is inside another's
+    kept = counts.join(inside, ["site", "topic"], "left_anti")
     return kept.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select("site", "topic", "pages")
 
 

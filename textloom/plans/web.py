@@ -46,8 +46,8 @@ def html_main_text(spark, sf):
 
 
 def page_links(spark, sf):
-    """Links within and out of the site, the first 20 of each page."""
-    links = _pages(spark, sf, "links").select("web_id", "site", F.explode(F.slice("links", 1, 20)).alias("link"))
+    """Links within and out of the site, all of each page."""
+    links = _pages(spark, sf, "links").select("web_id", "site", F.explode("links").alias("link"))
     return links.groupBy("web_id").agg(F.count("*").alias("links"), F.sum((web.site(F.col("link")) == F.col("site")).cast("int")).alias("own"))
 
 
@@ -110,7 +110,7 @@ SQL = {
     "html_title_lang": r"""SELECT web_id, trim(regexp_extract(raw_html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, lower(regexp_extract(raw_html, '(?i)<html[^>]*\blang="([^"]*)"', 1)) AS language
         FROM web_content WHERE raw_html IS NOT NULL""",
     "html_main_text": f"SELECT web_id, length(t) AS chars, md5(t) AS digest FROM (SELECT web_id, {_html_text('raw_html')} AS t FROM web_content WHERE raw_html IS NOT NULL)",
-    "page_links": f"""WITH {_P}, l AS (SELECT web_id, site, unnest(list_slice(links, 1, 20)) AS link FROM p)
+    "page_links": f"""WITH {_P}, l AS (SELECT web_id, site, unnest(links) AS link FROM p)
         SELECT web_id, count(*) AS links, count(*) FILTER ({_site('link')} = site) AS own FROM l GROUP BY web_id""",
     "page_rerank": f"""WITH t AS (SELECT web_id AS doc_id, concat_ws(' ', title, coalesce(nullif(summary, ''), substr(content, 1, 1000))) AS text FROM web_content),
         q AS (SELECT min(web_id) AS qid, title AS text FROM web_content WHERE web_id % 50 = 0 AND title IS NOT NULL GROUP BY title),
@@ -127,7 +127,7 @@ SQL = {
         SELECT engine, n, round(least(0.95::DOUBLE, greatest(0.1::DOUBLE, (0.15::DOUBLE * least(n / 3.0, 1.0)::DOUBLE + 0.15::DOUBLE * least(sites / 2.0, 1.0)::DOUBLE + 0.1::DOUBLE * least(mean_words / 1000, 1.0)::DOUBLE + 0.1::DOUBLE * signed + 0.05::DOUBLE * dated) / 0.55::DOUBLE)), 6) AS confidence FROM g""",
     "related_topics": f"""WITH {_P}, w AS (SELECT site, unnest(list_distinct(regexp_extract_all(lower(title), '[a-zß-ÿ]{{4,}}'))) AS topic FROM p WHERE title IS NOT NULL),
         c AS (SELECT site, topic, count(*) AS pages FROM w GROUP BY site, topic),
-        t AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY pages DESC, topic) AS nth FROM c QUALIFY nth <= 20),
+        t AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY pages DESC, topic) AS nth FROM c),
         k AS (SELECT site, topic, pages FROM t WHERE NOT EXISTS (SELECT 1 FROM t l WHERE l.site = t.site AND l.topic <> t.topic AND contains(l.topic, t.topic))),
         r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY pages DESC, topic) AS again FROM k QUALIFY again <= 5)
         SELECT site, topic, pages FROM r""",

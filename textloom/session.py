@@ -44,11 +44,14 @@ def spread(df):
 def checkpointed(spark: SparkSession, df):
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests on one machine) a fresh local folder is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Where that
+    is unset, a local session takes a fresh folder of its machine; a cluster raises,
+    since its executors share no such folder.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return df.checkpoint(eager=True)
