@@ -66,48 +66,57 @@ def is_function(kind: Column) -> Column:
     return F.lower(F.trim(kind)).rlike(r"func|method|^(async[ _-]?)?(def|fn|procedure|constructor|lambda)$")
 
 
+_QUOTED = re.compile(r"[rRbBuUfF]{0,2}(\"\"\"|''')(.*?)(?:\1)?", re.S)
+_OPENING, _CLOSING, _STAR = re.compile(r"^/\*+!?"), re.compile(r"\*+/\s*$"), re.compile(r"^\s*\*(?!\*) ?")
+_SIGN, _LINE_SIGN = re.compile(r"//|#"), re.compile(r"^\s*(?://+!?|#+) ?")
+_NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\dA-Z_]+|\d+")
+_MARKUP = re.compile(r"</?\w+[^>]*>|[`*_~]{1,3}(?=\w)|(?<=\w)[`*~]{1,3}")
+_JOINTS, _SENTENCE, _WORD, _TOKEN = re.compile(r"[\s_-]+"), re.compile(r"[.:;]\s"), re.compile(r"[^\W_]+"), re.compile(r"[\w$]+")
+_OWN_TEXT = re.compile(r"^[`*]*([\w$]+)[`*]*(?:\s*\([^)]*\))?\s*[:\-–]\s+(.*)$")
+_PARAM_TEXT = re.compile(r"^[`*]*([\w$]+)[`*]*\s*[:\-–]\s*(.*)$")
+_TAG_HEAD = re.compile(r"^(?:\{[^}]*\}\s*)?[\w$.*\[\]]+[\s:\-–]*")
+_INHERIT = re.compile(r"\{?@inherit")
+
+
 def strip_markers(doc: str) -> str:
     """A documentation text without comment signs, string quotes and common indentation."""
     text = doc.replace("\r\n", "\n").expandtabs(4).strip()
-    quoted = re.fullmatch(r"[rRbBuUfF]{0,2}(\"\"\"|''')(.*?)(?:\1)?", text, re.S)
+    quoted = _QUOTED.fullmatch(text)
     if quoted:
         text = quoted.group(2)
     if text.startswith("/*"):
-        text = re.sub(r"\*+/\s*$", "", re.sub(r"^/\*+!?", "", text))
-        text = "\n".join(re.sub(r"^\s*\*(?!\*) ?", "", line) for line in text.split("\n"))
-    elif re.match(r"//|#", text):
-        text = "\n".join(re.sub(r"^\s*(?://+!?|#+) ?", "", line) for line in text.split("\n"))
+        text = _CLOSING.sub("", _OPENING.sub("", text))
+        text = "\n".join(_STAR.sub("", line) for line in text.split("\n"))
+    elif _SIGN.match(text):
+        text = "\n".join(_LINE_SIGN.sub("", line) for line in text.split("\n"))
     first, _, rest = text.partition("\n")
     return (first.strip() + "\n" + textwrap.dedent(rest)).strip()
 
 
-def name_words(name: str | None) -> set[str]:
-    parts = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\dA-Z_]+|\d+", name or "")
-    return {p.lower() for p in parts}
+@lru_cache(maxsize=100_000)
+def name_words(name: str | None) -> frozenset[str]:
+    return frozenset(p.lower() for p in _NAME_PART.findall(name or ""))
 
 
-def _says(line: str, name: str, named: set[str], params: set[str]) -> bool:
-    line = re.sub(r"</?\w+[^>]*>|[`*_~]{1,3}(?=\w)|(?<=\w)[`*~]{1,3}", " ", line).strip()
+def _says(line: str, name: str, named: frozenset[str], params: set[str]) -> bool:
+    line = _MARKUP.sub(" ", line).strip()
     bare = line.strip(" \t.!?:;,-–—()[]{}<>\"'`*_=/\\|#~")
-    if not any(c.isalpha() for c in bare):
+    if not any(map(str.isalpha, bare)):
         return False
-    if bare.lower() in PLACEHOLDERS or re.sub(r"[\s_-]+", "", bare.lower()) in PLACEHOLDERS:
+    if bare.lower() in PLACEHOLDERS or _JOINTS.sub("", bare.lower()) in PLACEHOLDERS:
         return False
     short = len(bare.split()) <= 9
     if _DIRECTIVE.match(line) or _DIRECTIVE.match(bare) or (short and (_STUB.match(bare) or (_POINTER.match(bare) and len(bare.split()) <= 7))):
         return False
     todo = _TODO.match(bare)
     if todo:
-        rest = re.split(r"[.:;]\s", bare[todo.end() :], maxsplit=1)
+        rest = _SENTENCE.split(bare[todo.end() :], maxsplit=1)
         return len(rest) > 1 and len(rest[1].split()) >= 3
-    words = re.findall(r"[^\W_]+", bare)
-    told = {w.lower() for word in words for w in ({word} | name_words(word))}
-    split = {p for w in words for p in name_words(w)}
-    if split <= named | FILLER or told <= named | FILLER | {name.lower()}:
-        return False
-    if {w.lower() for w in re.findall(r"[\w$]+", bare)} <= {p.lower() for p in params}:
+    known, own = named | FILLER, name.lower()
+    words = _WORD.findall(bare)
+    if all(name_words(w) <= known for w in words) or all((w.lower() in known or w.lower() == own) and all(p in known or p == own for p in name_words(w)) for w in words):
         return False
-    return True
+    return not {w.lower() for w in _TOKEN.findall(bare)} <= {p.lower() for p in params}
 
 
 def says_something(doc: str | None, name: str | None = None, params: tuple[str, ...] = ()) -> bool:
@@ -119,18 +128,18 @@ def says_something(doc: str | None, name: str | None = None, params: tuple[str,
     named, given = name_words(name), set(params)
     plain, tagged = [], []
     for line in lines:
-        own = re.match(r"^[`*]*([\w$]+)[`*]*(?:\s*\([^)]*\))?\s*[:\-–]\s+(.*)$", line)
+        own = _OWN_TEXT.match(line)
         if own and own.group(1).lower() == (name or "").lower():
             line = own.group(2)
         tag = _TAG.match(line)
-        if tag and not re.match(r"\{?@inherit", line):
+        if tag and not _INHERIT.match(line):
             rest = line[tag.end() :].strip(" :-–")
             if (tag.group("tag") or "").lower() in {"param", "parameter", "arg", "argument", "type", "throws", "raises", "raise", "exception"}:
-                rest = re.sub(r"^(?:\{[^}]*\}\s*)?[\w$.*\[\]]+[\s:\-–]*", "", rest)
+                rest = _TAG_HEAD.sub("", rest)
             if len(rest.split()) >= 2:
                 tagged.append(rest)
         else:
-            own = re.match(r"^[`*]*([\w$]+)[`*]*\s*[:\-–]\s*(.*)$", line)
+            own = _PARAM_TEXT.match(line)
             if own and own.group(1) in given:
                 line = own.group(2)
             if line:
