@@ -16,7 +16,6 @@ EXTENSIONS = (
     ("c", ("c", "h")), ("go", ("go",)), ("rust", ("rs",)), ("ruby", ("rb",)), ("markdown", ("md",)), ("config", ("json", "yaml", "yml", "toml")),
 )
 EXCLUDED_PARTS = ("vendor", "node_modules", "third_party", "dist", "build", "__pycache__", ".git")
-README_NAMES = ("README.md", "README.rst", "README.txt", "README", "readme.md")
 DECISIONS = r"(?:^|[^A-Za-z0-9_])(?:if|elif|for|while|case|catch|except|switch)(?:[^A-Za-z0-9_]|$)|&&|\|\|"
 #: How a declaration of each language starts; group 1 is the name.
 DECLARATIONS = {
