@@ -63,6 +63,34 @@ def test_store(spark, tmp_path):
     assert not (tmp_path / "store").exists()
 
 
+def test_store_keys_with_signs_numbers_and_empty_texts(spark, tmp_path):
+    path = str(tmp_path / "store")
+    schema = "chunk_id string, document_id string, user_id string, model_id string, vector array<float>"
+    users = ["a/b:c", "a b%", "007", "", "2024-01-01", "ü=x"]
+    store.add(spark.createDataFrame([(f"k{i}", "d", u, "m", [1.0]) for i, u in enumerate(users)], schema), path)
+    wanted = sorted(u or "default" for u in users)
+    assert sorted(r.user_id for r in store.read(spark, path).collect()) == wanted
+    for left, user in enumerate(wanted, 1):
+        gone = spark.createDataFrame([(user, "m", "d")], "user_id string, model_id string, document_id string")
+        if left < len(wanted):
+            assert store.delete_documents(spark, path, gone) == 1
+            assert sorted(r.user_id for r in store.read(spark, path).collect()) == wanted[left:]
+    assert {p.parents[1].name for p in (tmp_path / "store").rglob("*.parquet")} == {"user_id=ü%3Dx"}
+
+
+def test_records_of_code(spark):
+    element = "element_id int, type string, name string, content string, start_line int, end_line int, file_path string, language string, complexity int, docstring string, parameters array<string>, return_type string"
+    file = "file_path string, language string, line_count int, complexity_score double, documentation string, imports array<string>"
+    files = spark.createDataFrame([("r/a.py", "python", 9, 2.0, "Doc", ["x", "y", None]), ("r/b.py", "python", 5, None, None, None), ("r/c.go", "go", None, 1.0, None, []), ("q/z", None, None, None, None, None)], file)
+    elements = spark.createDataFrame([(1, "Function", "Do it", "code", 1, 2, "r/a.py", None, 3, " ", ["a"], None), (2, "class", "B", None, 1, 1, "r/none.py", "go", None, "Says.", None, "int")], element)
+    got = {r.element_id: r for r in store.element_records(elements, files).collect()}
+    assert got[1].name == "r_a.py_do_it_function" and "No documentation." in got[1].markdown and got[1].markdown.endswith("Its file has 9 lines and 3 imports.")
+    assert got[2].code_md5 is None and "Says." in got[2].markdown and "Returns: int" in got[2].markdown and "Its file" not in got[2].markdown
+    records = {r.repo: r.markdown for r in store.repository_records(files).collect()}
+    assert records["r"] == "# r\n\nFiles: 3, lines: 14, documented: 33 %\n\n## python (2 files)\n- r/a.py\n- r/b.py\n\n## go (1 files)\n- r/c.go\n\nPackages: x, y"
+    assert records["q"] == "# q\n\nFiles: 1, lines: 0, documented: 0 %"
+
+
 def test_exports(spark, tmp_path):
     rows = spark.createDataFrame([("A Title: x!", "Body", "http://x", None)], "title string, content string, url string, date timestamp")
     record = store.knowledge_records(rows).first()

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from textloom.operators.code import repository
 from textloom.session import checkpointed
 
 KEYS = ("user_id", "model_id")
 
 
 def keyed(chunks: DataFrame) -> DataFrame:
-    """Rows with the store's keys filled in: null user or model is ``default``."""
-    return chunks.withColumns({k: F.coalesce(F.col(k), F.lit("default")) for k in KEYS})
+    """Rows with the store's keys filled in: a null or empty user or model is ``default``."""
+    return chunks.withColumns({k: F.coalesce(F.nullif(F.col(k).cast("string"), F.lit("")), F.lit("default")) for k in KEYS})
 
 
 def add(chunks: DataFrame, path: str) -> None:
@@ -22,8 +23,10 @@ def add(chunks: DataFrame, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str, user_id: str | None = None, model_id: str | None = None) -> DataFrame:
-    """The store, or one user's or model's partitions of it."""
-    rows = spark.read.parquet(path)
+    """The store, or one user's or model's partitions of it; keys are text also where they look like numbers or dates."""
+    found = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType() if f.name in KEYS else f.dataType) for f in found]
+    rows = spark.read.schema(T.StructType(fields)).parquet(path)
     for key, value in zip(KEYS, (user_id, model_id)):
         if value is not None:
             rows = rows.where(F.col(key) == value)
@@ -37,8 +40,10 @@ def delete_documents(spark: SparkSession, path: str, documents: DataFrame) -> in
     """
     keys = [*KEYS, "document_id"]
     doomed = keyed(documents).select(*keys).distinct()
-    stored = spark.read.parquet(path)
-    touched = checkpointed(spark, stored.join(doomed, keys, "left_semi").select(*KEYS).distinct())
+    stored = read(spark, path)
+    # the folder of a key is where its files lie, as its name there may be escaped
+    folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "")
+    touched = checkpointed(spark, stored.select(*keys, folder.alias("folder")).join(doomed, keys, "left_semi").select(*KEYS, "folder").distinct())
     if not touched.limit(1).count():
         return 0
     before = checkpointed(spark, stored.join(touched, list(KEYS), "left_semi"))
@@ -49,7 +54,7 @@ def delete_documents(spark: SparkSession, path: str, documents: DataFrame) -> in
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     for row in emptied.toLocalIterator():  # partitions, one name at a time
-        fs.delete(fs_path(f"{path}/user_id={row.user_id}/model_id={row.model_id}"), True)
+        fs.delete(fs_path(spark._jvm.java.net.URI(row.folder)), True)
     return deleted
 
 
@@ -75,3 +80,38 @@ def knowledge_records(rows: DataFrame) -> DataFrame:
     slug = F.substring(F.regexp_replace(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}]+", "-"), r"^-+|-+$", ""), 1, 60)
     body = F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), F.col("content"), F.concat(F.lit("Source: "), "url"), F.concat(F.lit("Date: "), F.date_format("date", "yyyy-MM-dd")))
     return rows.select(slug.alias("name"), body.alias("markdown"))
+
+
+def element_records(elements: DataFrame, files: DataFrame) -> DataFrame:
+    """(element_id, name, markdown, code_md5): one Markdown record for each element, with figures of its file; names hold no signs but _ and -."""
+    known = files.select("file_path", F.col("line_count").alias("file_lines"), F.size(F.coalesce("imports", F.array().cast("array<string>"))).alias("file_imports"))
+    rows = elements.join(known, "file_path", "left")
+    documented = F.coalesce(F.trim("docstring"), F.lit("")) != ""
+    body = F.concat_ws(
+        "\n", F.concat(F.lit("# "), "type", F.lit(" `"), "name", F.lit("`")), F.concat(F.lit("File: "), "file_path", F.lit(" ("), F.coalesce("language", F.lit("unknown")), F.lit(")")),
+        F.concat(F.lit("Lines: "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")), F.concat(F.lit("Complexity: "), F.col("complexity").cast("string")),
+        F.when(documented, F.concat(F.lit("\n"), "docstring", F.lit("\n"))).otherwise("No documentation."), F.when(F.size("parameters") > 0, F.concat(F.lit("Parameters: "), F.array_join("parameters", ", "))),
+        F.concat(F.lit("Returns: "), "return_type"), F.concat(F.lit("```\n"), "content", F.lit("\n```")),
+        F.concat(F.lit("Its file has "), F.col("file_lines").cast("string"), F.lit(" lines and "), F.col("file_imports").cast("string"), F.lit(" imports.")),
+    )
+    name = F.regexp_replace(F.concat_ws("_", F.regexp_replace("file_path", "/", "_"), F.regexp_replace(F.lower("name"), "[^a-z0-9_-]", "_"), F.lower("type")), "_+", "_")
+    return rows.select("element_id", name.alias("name"), body.alias("markdown"), F.md5("content").alias("code_md5"))
+
+
+def repository_records(files: DataFrame, packages: int = 10) -> DataFrame:
+    """(repo, markdown): totals, the three languages with most files and two key files of each, and the first packages by name."""
+    named = files.withColumn("repo", repository(F.col("file_path")))
+    totals = named.groupBy("repo").agg(F.count("*").alias("files"), F.sum("line_count").alias("lines"), F.avg((F.col("documentation").isNotNull()).cast("int")).alias("documented"))
+    counted = named.where("language is not null").groupBy("repo", "language").agg(F.count("*").alias("n"))
+    top = counted.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(F.col("n").desc(), "language"))).where("place <= 3")
+    keys = named.select("repo", "language", "file_path", "line_count", F.coalesce("complexity_score", F.lit(0.0)).alias("hard"))
+    best = Window.partitionBy("repo", "language").orderBy(F.col("hard").desc(), F.col("line_count").desc_nulls_last(), "file_path")
+    keys = keys.withColumn("nth", F.row_number().over(best)).where("nth <= 2").groupBy("repo", "language").agg(F.array_sort(F.collect_list(F.struct("nth", "file_path"))).alias("keys"))
+    line = F.concat(F.lit("## "), "language", F.lit(" ("), F.col("n").cast("string"), F.lit(" files)\n"), F.array_join(F.transform("keys", lambda k: F.concat(F.lit("- "), k["file_path"])), "\n"))
+    spoken = top.join(keys, ["repo", "language"]).groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("languages"))
+    used = named.select("repo", F.explode("imports").alias("package")).where("package is not null").distinct()
+    first = used.withColumn("nth", F.row_number().over(Window.partitionBy("repo").orderBy("package"))).where(F.col("nth") <= packages)
+    used = first.groupBy("repo").agg(F.array_join(F.array_sort(F.collect_list("package")), ", ").alias("packages"))
+    figures = F.concat(F.lit("Files: "), F.col("files").cast("string"), F.lit(", lines: "), F.coalesce(F.col("lines").cast("string"), F.lit("0")), F.lit(", documented: "), F.round(100 * F.col("documented")).cast("int").cast("string"), F.lit(" %"))
+    body = F.concat_ws("\n\n", F.concat(F.lit("# "), "repo"), figures, F.array_join(F.transform("languages", lambda x: x["line"]), "\n\n"), F.concat(F.lit("Packages: "), "packages"))
+    return totals.join(spoken, "repo", "left").join(used, "repo", "left").select("repo", body.alias("markdown"))

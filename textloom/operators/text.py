@@ -71,7 +71,7 @@ def ingested(documents: DataFrame, threshold: float = 0.7) -> DataFrame:
 def hash_vectors(texts: DataFrame, key: str, dim: int = EMBED_DIM) -> DataFrame:
     """(key, vector): unit vectors of word counts in md5 buckets, a deterministic stand-in for an embedding model.
 
-    Each text is embedded once, however often it occurs under other keys; texts without words have a null vector.
+    Every key gets a vector of its own, also where texts repeat; texts without words give no row.
     """
     tokens = texts.select(key, F.explode(fx.words(F.col("text"))).alias("word"))
     bucket = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % dim

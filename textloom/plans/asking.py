@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.plans import rag, records, search, text, web
+from textloom.plans import answers, rag, records, search, text, web
 from textloom.sources.tables import table
 
 
@@ -54,6 +54,7 @@ _DOCUMENTS = (
     (text, ("hash_embed_search",)),
     (rag, ("context_budget", "rag_sources", "rag_prompt", "rag_confidence", "hybrid_mode_union")),
     (records, ("scoring_prompts", "context_summary")),
+    (answers, ("pairwise_prompts", "reply_rerank", "reply_rerank_tops", "cited_context")),
 )
 _OVER = [(group, name, ("documents", "doc_id", "text")) for group, names in _DOCUMENTS for name in names] + [(web, "page_rerank", ("web_content", "web_id", "content"))]
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import asking, code, elements, events, rag, records, relational, search, text, vectors, web
+from textloom.plans import answers, asking, code, elements, events, rag, records, relational, search, text, vectors, web
 
-_GROUPS = (search, text, vectors, web, rag, records, code, elements, events, relational, asking)
+_GROUPS = (search, text, vectors, web, rag, records, code, elements, events, relational, answers, asking)
 
 
 def queries() -> dict:
