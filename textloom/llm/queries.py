@@ -77,6 +77,10 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.share_report(_texts(spark, sf, "documents"), table(spark, sf, "mix_targets"))
 
 
+def p7_marginals(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.marginal_report(_texts(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
 def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.mix_sources(_texts(spark, sf, "documents"), table(spark, sf, "mix_targets"))
 
@@ -93,5 +97,5 @@ def p8_repaired(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = (p1_found, p1_pairs, p2_found, p2_removed, p3_found, p3_redacted, p4_found, p4_body, p5_found, p5_documents, p6_ids, p6_roundtrip, p7_shares, p7_mixture, p8_found, p8_repaired)
+    names = (p1_found, p1_pairs, p2_found, p2_removed, p3_found, p3_redacted, p4_found, p4_body, p5_found, p5_documents, p6_ids, p6_roundtrip, p7_shares, p7_marginals, p7_mixture, p8_found, p8_repaired)
     return {f.__name__: f for f in names}
